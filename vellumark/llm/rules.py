@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from vellumark.llm.shared import _IS_WORD, _within, hash_spans, mix, slices, windows, words
 
 BUCKETS = 1 << 14
-#: Below this mean log-likelihood ratio a text is rejected. Trusted text lies around 0; junk lies far below.
-THRESHOLD = -1.0
+#: Below this mean log-likelihood ratio a text is rejected. Trusted text lies above it, text with junk in its words below.
+THRESHOLD = -0.1
 #: At most so many trusted rows are used for the target multinomial (those with the smallest id hashes).
 TRUSTED_ROWS = 20_000
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -59,11 +59,10 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(data == 10)
     heads = np.union1d(offsets[:-1], breaks + 1)
     heads = heads[heads < len(data)]
-    tails = np.union1d(offsets[1:], breaks)
-    tails = tails[np.searchsorted(tails, heads)] if len(heads) else tails[:0]
-    filled = np.searchsorted(starts, tails) > np.searchsorted(starts, heads)
-    heads, tails = heads[filled], tails[filled]
     owner = np.searchsorted(offsets, heads, side="right") - 1
+    tails = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, heads)], offsets[owner + 1])
+    filled = np.searchsorted(starts, tails) > np.searchsorted(starts, heads)
+    heads, tails, owner = heads[filled], tails[filled], owner[filled]
     out["n_dup_lines"] = np.bincount(owner, minlength=n) - _distinct(owner, hash_spans(data, heads, tails, fold=False), n)
     # Words in windows of five that the text holds twice or more.
     exact = hash_spans(data, starts, ends, fold=False)
