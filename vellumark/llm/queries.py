@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumark.llm import brown, chat, linededup, neardup, packing, pages, quality_crf, rules, topk
+from vellumark.llm import brown, chat, linededup, mixing, neardup, packing, pages, quality_crf, rules, topk
 from vellumark.llm.shared import table
 
 
+#: Token weights of the domains: toxic text goes, poor text is at most a tenth.
+TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix_documents(docs, mixing.domains_of_labels(table(spark, sf_dir, "labels")), TARGETS).drop("text")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -118,6 +127,7 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_topk": op2_topk,
     "op3_minhash": op3_minhash,
     "op4_rules": op4_rules,
