@@ -98,7 +98,8 @@ def _scan(rows: DataFrame, shared, k: int, cutoffs, lists: int) -> DataFrame:
         for (first, i), (x, ids, _, score) in held.items():
             for at in range(0, len(x), 65_536):
                 rows = slice(at, at + 65_536)
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows].astype(np.int64) + first), pa.array(np.full(len(x[rows]), i, np.int64)), pa.array(ids[rows], pa.int64()), pa.array(score[rows].astype(np.int64), pa.int64())], names=["q", "list", "vec_id", "score"])
+                whole = np.clip(score[rows], -(2**63), 2**63 - 1) if score.dtype == object else score[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(x[rows].astype(np.int64) + first), pa.array(np.full(len(x[rows]), i, np.int64)), pa.array(ids[rows], pa.int64()), pa.array(whole.astype(np.int64), pa.int64())], names=["q", "list", "vec_id", "score"])
 
     return rows.mapInArrow(run, "q long, list long, vec_id long, score long")
 
@@ -142,6 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         bound = whole.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") == k + 1).select("q", "score").toArrow()
         low = np.full(len(lead), -(2.0**63))
         low[bound.column("q").to_numpy()] = bound.column("score").to_numpy()
+        low = np.where(np.abs(low) < 2.0**53, low, np.nextafter(low, -np.inf))  # never above a long that has no double
         final = _scan(rows, shared, k + 1, spark.sparkContext.broadcast(low), lists)
         final = final.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") <= k + 1)
         names = spark.createDataFrame(pa.table({"q": np.arange(len(lead)), "lead": lead}))
