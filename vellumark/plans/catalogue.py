@@ -1,10 +1,439 @@
-"""Every registered query of the library with the SQL that checks it."""
+"""Every registered query of the library with the SQL that checks it, on the driver's tables.
+
+The tables have no headings, fences, tables or images, so queries that need them compose markdown from whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumark.functions import text as T
+from vellumark.operators import media, metrics, passes, split, tables
+from vellumark.options import SliceOptions
+from vellumark.plans import sql
+from vellumark.sources import dispatch, files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _budget(name: str, options: SliceOptions, oracle: str) -> None:
+    query(name, oracle)(lambda spark, sf_dir: split.budget_split(table(spark, sf_dir, "documents"), options))
+
+
+_budget("budget_split_1000", SliceOptions(limit=1000), sql.budget(1000))
+_budget("budget_split_500", SliceOptions(limit=500), sql.budget(500))
+_budget("budget_split_hardcut", SliceOptions(limit=1000, boundary=False), sql.budget(1000, boundary=False))
+_budget("budget_lookback_02", SliceOptions(limit=1000, lookback=0.2), sql.budget(1000, lookback=0.2))
+_budget("budget_split_overlap", SliceOptions(limit=1000, overlap=100, overlap_boundary=False), sql.budget(1000, overlap=100))
+_budget("budget_split_snapped_overlap", SliceOptions(limit=1000, overlap=100), sql.budget(1000, overlap=100, snap=True))
+_budget("min_chunk_merge", SliceOptions(limit=1000, min_chunk=200), sql.budget(1000, merge=200))
+
+
+@query(
+    "budget_summary_by_lang",
+    f"WITH p AS ({sql.budget(1000)}) SELECT lang, count(*) AS n_pieces, sum(length(content))::BIGINT AS n_chars, min(length(content)) AS least, max(length(content)) AS most FROM p JOIN documents USING (doc_id) GROUP BY lang",
+)
+def budget_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("lang", F.explode(split.split_pieces(F.col("text"), SliceOptions(limit=1000))).alias("content"))
+    size = F.length("content").cast("long")
+    return rows.groupBy("lang").agg(F.count("*").alias("n_pieces"), F.sum(size).alias("n_chars"), F.min(size).alias("least"), F.max(size).alias("most"))
+
+
+@query("token_budget_words")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = SliceOptions(limit=120, length_fn=lambda s: len(s.split()))
+    return split.budget_split(table(spark, sf_dir, "documents"), options)
+
+
+@query("mark_chunk_256", sql.mark("SELECT doc_id, text FROM documents"))
+def mark_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.explode_pieces(table(spark, sf_dir, "documents"), split.mark_pieces(F.col("text"), 256))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations as paragraphs."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("para_idx"), F.concat_ws(" ", "role", "turn").alias("title"), F.col("text").alias("content"))
+
+
+TURNS = "SELECT conv_id AS doc_id, turn::INT AS para_idx, role || ' ' || turn AS title, text AS content FROM conversations"
+
+
+@query(
+    "chunk_carry_title",
+    f"WITH t AS ({TURNS}), m AS ({sql.mark('SELECT (doc_id * 100000 + para_idx) AS doc_id, content AS text FROM t', 120)}) SELECT m.doc_id // 100000 AS doc_id, (m.doc_id % 100000)::INT AS para_idx, t.title, m.para_idx AS chunk_idx, '# ' || t.title || chr(10) || m.content AS content FROM m JOIN t ON m.doc_id = t.doc_id * 100000 + t.para_idx",
+)
+def chunk_carry_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.chunk_paragraphs(_turns(spark, sf_dir), 120, carry_title=True)
+
+
+@query("chunk_overlap_40", sql.chunk_overlap(TURNS, 200, 40))
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.chunk_paragraphs(_turns(spark, sf_dir), 200, chunk_overlap=40)
+
+
+@query(
+    "blank_line_split",
+    "WITH c AS (SELECT conv_id, string_split(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(10) || chr(10)) AS parts FROM conversations GROUP BY conv_id) SELECT conv_id AS doc_id, (generate_subscripts(parts, 1) - 1)::INT AS para_idx, trim(unnest(parts), ' ' || chr(9) || chr(10)) AS content FROM c",
+)
+def blank_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    docs = turns.select(F.col("conv_id").alias("doc_id"), F.array_join(F.col("t")["text"], "\n\n").alias("text"))
+    return split.explode_pieces(docs, split.blank_line_pieces(F.col("text")))
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as markdown: a heading for each, and one below it for every turn."""
+    part = F.concat(F.lit("## "), "title", F.lit("\n\n"), "content")
+    grouped = _turns(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", part.alias("p")))).alias("t"))
+    return grouped.select("doc_id", F.concat(F.lit("# conv "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join(F.col("t")["p"], "\n\n")).alias("text"))
+
+
+MARKDOWN = f"SELECT doc_id, '# conv ' || doc_id || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY para_idx) AS text FROM ({TURNS}) GROUP BY doc_id"
+
+
+@query(
+    "heading_scan",
+    f"WITH d AS ({MARKDOWN}), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM d) SELECT doc_id, line_no::INT AS line_no, length(regexp_extract(line, '^(#+) ', 1))::INT AS level, trim(regexp_replace(line, '^#+', '')) AS title FROM l WHERE regexp_matches(line, '^#+ ')",
+)
+def heading_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markdown(spark, sf_dir).select("doc_id", F.explode(T.heading_lines(F.col("text"))).alias("h")).select("doc_id", "h.line_no", "h.level", "h.title")
+
+
+@query(
+    "heading_chain_sections",
+    f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1)::INT AS para_idx, 'conv ' || doc_id || '  ' || title AS title, trim(content, ' ' || chr(9) || chr(10)) AS content FROM ({TURNS})",
+)
+def heading_chain_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.slice_documents(_markdown(spark, sf_dir), SliceOptions(limit=100_000))
+
+
+@query("slice_tree_limit_200")
+def slice_tree_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.slice_documents(_markdown(spark, sf_dir), SliceOptions(limit=200, overlap=40))
+
+
+@query("fence_aware_strip", "SELECT conv_id AS doc_id, turn::INT AS turn, 'head ' || turn || chr(10) || text || chr(10) || '```' || chr(10) || '# kept ' || role || chr(10) || '```' || chr(10) || 'after' AS content FROM conversations")
+def fence_aware_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("# head "), F.col("turn").cast("string"), F.lit("\n"), "text", F.lit("\n```\n# kept "), "role", F.lit("\n```\n### after"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("turn"), T.strip_markers(made).alias("content"))
+
+
+@query("clean_whitespace", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\n+', chr(10), 'g'), ' +', ' ', 'g'), '\t+', '', 'g')) AS cleaned FROM documents")
+def clean_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse(F.col("text")).cast("binary")).alias("cleaned"))
+
+
+@query("paragraph_overlap", sql.paragraph_overlap(TURNS, 40))
+def paragraph_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passes.overlap_paragraphs(_turns(spark, sf_dir), SliceOptions(limit=1000, overlap=40, overlap_boundary=False))
+
+
+_HEAD = "| n_nationkey | n_name |\n| --- | --- |"
+
+
+@query(
+    "table_header_carry",
+    "WITH r AS (SELECT n_regionkey::BIGINT AS doc_id, n_nationkey, ((row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) // 2)::INT AS para_idx, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation) "
+    "SELECT doc_id, para_idx, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n_nationkey) AS content FROM r GROUP BY doc_id, para_idx",
+)
+def table_header_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), "n_nationkey", T.table_row(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("line"))
+    order = F.row_number().over(passes.Window.partitionBy("doc_id").orderBy("n_nationkey")) - 1
+    cut = rows.withColumn("para_idx", F.floor(order / 2).cast("int")).groupBy("doc_id", "para_idx").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n_nationkey", "line")))["line"], "\n").alias("content"))
+    return passes.carry_table_headers(cut.withColumn("content", F.when(F.col("para_idx") == 0, F.concat(F.lit(_HEAD + "\n"), "content")).otherwise(F.col("content"))))
+
+
+@query("csv_pack", sql.pack("SELECT s_nationkey AS key, s_suppkey AS o, '| ' || s_suppkey || ' | ' || s_name || ' |' || chr(10) AS line FROM supplier", "| s_suppkey | s_name |\n| --- | --- |\n", 300))
+def csv_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pack_table(table(spark, sf_dir, "supplier"), ["s_suppkey", "s_name"], "s_suppkey", 300, key="s_nationkey")
+
+
+@query("markdown_table", "SELECT n_regionkey AS key, '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY n_regionkey")
+def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.markdown_table(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], "n_nationkey", "n_regionkey")
+
+
+@query("cell_escape", "SELECT doc_id, md5(replace(replace(text, chr(10), '<br>'), '|', '&#124;')) AS escaped FROM documents")
+def cell_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.escape_cell(F.col("text")).cast("binary")).alias("escaped"))
+
+
+@query("cell_unescape", "SELECT doc_id, md5(text) AS restored FROM documents")
+def cell_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unescape_cell(T.escape_cell(F.col("text"))).cast("binary")).alias("restored"))
+
+
+@query("table_rows_kv", "SELECT c_custkey, 'c_custkey: ' || c_custkey || '; c_name: ' || c_name || '; c_mktsegment: ' || c_mktsegment AS content FROM customer")
+def table_rows_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", tables.key_values(["c_custkey", "c_name", "c_mktsegment"]).alias("content"))
+
+
+@query("naive_csv_rows", "SELECT n_regionkey AS key, list_aggregate(list('name:' || n_name || '; key:' || n_nationkey ORDER BY n_nationkey), 'string_agg', ' / ') AS content FROM nation GROUP BY n_regionkey")
+def naive_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.array_join(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws(",", "n_name", "n_nationkey").alias("line"))))["line"], "\n")
+    made = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("name,key\n"), lines).alias("text"))
+    return made.select(F.col("n_regionkey").alias("key"), F.array_join(tables.naive_csv_rows(F.col("text")), " / ").alias("content"))
+
+
+_QA = """WITH q AS (SELECT u.conv_id, u.turn, u.text AS ask, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT 'conv ' || conv_id AS name, turn::INT AS row_no, substring(ask, 1, 255) AS title, substring(answer, 1, 102400) AS content,
+len(list_filter(list_transform(string_split(ask, chr(10)), lambda x: trim(x)), lambda x: x <> ''))::INT AS n_problems FROM q"""
+
+
+@query("qa_pairs", _QA)
+def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    answers = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = turns.filter("role = 'user'").join(answers, ["conv_id", "turn"])
+    name = F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("name")
+    rows = pairs.select(name, F.col("turn").cast("int").alias("row_no"), F.array("text", "answer", "text").alias("cells"))
+    heads = pairs.select(name).distinct().select("name", F.lit(-1).alias("row_no"), F.array(F.lit("Title"), F.lit("Content"), F.lit("Question")).alias("cells"))
+    return tables.qa_rows(rows.unionByName(heads)).select("name", "row_no", "title", "content", F.size("problem_list").alias("n_problems"))
+
+
+@query(
+    "html_noise_removed",
+    r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g')) AS cleaned FROM pages",
+)
+def html_noise_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_noise_removed(F.col("html")).cast("binary")).alias("cleaned"))
+
+
+@query("html_links", """SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)::VARCHAR[] AS links FROM pages""".replace("\\\\", "\\"))
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_links(F.col("html")).alias("links"))
+
+
+@query("html_title_h1", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages")
+def html_title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+
+
+@query("slice_html_pages")
+def slice_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    return files.slice_many(docs, SliceOptions(limit=1000)).select("idx", F.posexplode("paragraphs").alias("para_idx", "p")).select("idx", "para_idx", "p.title", "p.content")
+
+
+_ENDINGS = [".HTML", ".docx", ".tar.gz", ".csv", ".fb2.zip", ".ts", ".mp4", ".unknown", ".vcf", ".webp"]
+_READERS = ["html", "docx", "tar", "csv", "fb2", "literal", None, "text", "vcf", "image"]
+
+
+@query(
+    "dispatch_by_name",
+    "SELECT c_custkey, c_name || [" + ", ".join(f"'{e}'" for e in _ENDINGS) + "][c_custkey % 10 + 1] AS name, [" + ", ".join("NULL" if r is None else f"'{r}'" for r in _READERS) + "][c_custkey % 10 + 1] AS reader FROM customer",
+)
+def dispatch_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.get(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("c_custkey") % 10).cast("int"))
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", ending).alias("name"))
+    return named.withColumn("reader", dispatch.reader_column(F.col("name")))
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as assets of their bytes: exact copies share a hash."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("idx"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "lang", "text")
+
+
+@query("sha_dedupe", "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha256(text)) AS kept_id FROM documents")
+def sha_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.dedupe(_assets(spark, sf_dir))[1]
+
+
+@query("remap_ids", "SELECT doc_id, 0 AS para_idx, 'see ![a](./oss/file/' || min(doc_id) OVER (PARTITION BY sha256(text)) || ') and ![b](./oss/file/x' || doc_id || ').' AS content FROM documents")
+def remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = media.dedupe(_assets(spark, sf_dir))[1].select(F.col("id").cast("string").alias("id"), F.col("kept_id").cast("string").alias("kept_id"))
+    number = F.col("doc_id").cast("string")
+    made = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("para_idx"), F.concat(F.lit("see ![a](./oss/file/"), number, F.lit(") and ![b](./oss/file/x"), number, F.lit(").")).alias("content"))
+    return media.remap_references(made, mapping)
+
+
+@query("cap_first_n", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
+def cap_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = passes.Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, sf_dir, "documents").select("source", "doc_id").withColumn("n", F.row_number().over(order)).filter("n <= 5").drop("n")
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five assets for each conversation: referred to, with a heading, with an anchor, of the document, and of nothing."""
+    turns = _turns(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    paragraphs = turns.withColumn("content", F.when(F.col("para_idx") == 0, F.concat("content", F.lit(" ![p](./oss/file/r"), key, F.lit(")"))).otherwise(F.col("content")))
+    second = turns.filter("para_idx = 1").select("doc_id", F.right(F.col("content"), F.lit(40)).alias("anchor"))
+    made = turns.select("doc_id").distinct().join(second, "doc_id", "left")
+    kinds = [("r", "null", "null", "null"), ("h", "'<b>Assistant 1</b>'", "null", "null"), ("a", "null", "anchor", "null"), ("d", "null", "null", "'document'"), ("n", "null", "'none of these words'", "null")]
+    parts = [made.selectExpr("doc_id", f"concat('{k}', doc_id) as id", f"{i} as idx", f"cast({h} as string) as heading", f"cast({a} as string) as anchor", f"cast({r} as string) as role") for i, (k, h, a, r) in enumerate(kinds)]
+    assets = parts[0]
+    for p in parts[1:]:
+        assets = assets.unionByName(p)
+    return media.attach(paragraphs, assets)
+
+
+_ATTACHED = f"""WITH t AS ({TURNS}), c AS (SELECT doc_id, min(para_idx) AS first FROM t GROUP BY doc_id),
+s AS (SELECT doc_id, right(content, 40) AS anchor FROM t WHERE para_idx = 1),
+p AS (SELECT doc_id, para_idx, CASE WHEN para_idx = 0 THEN content || ' ![p](./oss/file/r' || doc_id || ')' ELSE content END AS content FROM t),
+h AS (SELECT doc_id, min(para_idx) AS para_idx FROM t WHERE title = 'assistant 1' OR contains(title, 'assistant 1') GROUP BY doc_id),
+a AS (SELECT s.doc_id, coalesce(min(p.para_idx) FILTER (contains(p.content, trim(s.anchor, ' '))), min(p.para_idx) FILTER (contains(p.content, right(trim(s.anchor, ' '), 32)))) AS para_idx FROM s JOIN p USING (doc_id) WHERE length(trim(s.anchor, ' ')) >= 12 GROUP BY s.doc_id)
+SELECT doc_id, CASE WHEN EXISTS (FROM t t2 WHERE t2.doc_id = c.doc_id AND t2.para_idx = 0) THEN 0 END::INT AS para_idx, 'r' || doc_id AS asset_id, CASE WHEN EXISTS (FROM t t2 WHERE t2.doc_id = c.doc_id AND t2.para_idx = 0) THEN 'reference' END AS match FROM c
+UNION ALL SELECT c.doc_id, h.para_idx, 'h' || c.doc_id, CASE WHEN h.doc_id IS NOT NULL THEN 'heading' END FROM c LEFT JOIN h USING (doc_id)
+UNION ALL SELECT c.doc_id, a.para_idx, 'a' || c.doc_id, CASE WHEN a.para_idx IS NOT NULL THEN 'anchor' END FROM c LEFT JOIN a USING (doc_id)
+UNION ALL SELECT doc_id, first, 'd' || doc_id, 'document' FROM c
+UNION ALL SELECT doc_id, NULL, 'n' || doc_id, NULL FROM c"""
+
+
+@query("attach_images", _ATTACHED)
+def attach_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attached(spark, sf_dir)
+
+
+@query("attachment_stats", f"SELECT match, count(*) AS n FROM ({_ATTACHED}) GROUP BY match")
+def attachment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.attachment_stats(_attached(spark, sf_dir))
+
+
+@query("asset_stats", "SELECT lang AS mime, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")
+def asset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.asset_stats(table(spark, sf_dir, "documents").select(F.col("lang").alias("mime"), F.col("text").cast("binary").alias("content")))
+
+
+@query(
+    "ocr_gate",
+    r"WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS e, length(regexp_replace(text, '\s', '', 'g')) AS v FROM documents) SELECT doc_id, e >= 30 AND e >= 0.5 * greatest(v, 1) AS valid FROM c",
+)
+def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.ocr_gate(F.col("text")).alias("valid"))
+
+
+@query("ocr_inject", "SELECT doc_id, 0 AS para_idx, 'a ![x](./oss/file/' || doc_id || ')' || CASE WHEN quality IS NOT NULL THEN chr(10) || 'text ' || quality || chr(10) ELSE '' END || ' b' AS content FROM documents LEFT JOIN labels USING (doc_id)")
+def ocr_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("para_idx"), F.concat(F.lit("a ![x](./oss/file/"), F.col("doc_id").cast("string"), F.lit(") b")).alias("content"))
+    texts = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("id"), F.concat(F.lit("text "), F.col("quality").cast("string")).alias("text"))
+    return media.inject_text(made, texts)
+
+
+@query("token_recall", sql.token_recall(1000))
+def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return metrics.token_recall(docs, split.budget_split(docs, SliceOptions(limit=1000)))
+
+
+@query("piece_stats", f"SELECT doc_id, count(*) AS n, sum(length(content))::BIGINT AS total, min(length(content))::INT AS least, max(length(content))::INT AS most FROM ({sql.budget(1000)}) GROUP BY doc_id")
+def piece_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.piece_stats(split.budget_split(table(spark, sf_dir, "documents"), SliceOptions(limit=1000)))
+
+
+@query("broken_structure", "SELECT conv_id AS doc_id, count(*) FILTER (turn % 3 = 0) AS broken_fences, count(*) FILTER (turn % 3 = 1) AS orphan_rows FROM conversations GROUP BY conv_id")
+def broken_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.when(F.col("para_idx") % 3 == 0, F.concat(F.lit("```\n"), "content")).when(F.col("para_idx") % 3 == 1, F.concat(F.lit("| a | b |\n"), "content")).otherwise(F.concat(F.lit("| a |\n| --- |\n"), "content"))
+    return metrics.broken_structure(_turns(spark, sf_dir).withColumn("content", made))
+
+
+@query(
+    "font_mode_headings",
+    "WITH s AS (SELECT p_partkey % 20 AS doc_id, p_partkey AS run_idx, p_size::DOUBLE / 10 AS size FROM part), m AS (SELECT doc_id, size, count(*) AS n, min(run_idx) AS f FROM s GROUP BY doc_id, size), "
+    "b AS (SELECT doc_id, size AS body FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1) SELECT doc_id, run_idx, CASE WHEN size - body > 2 THEN 2 WHEN size - body > 0.5 THEN 3 ELSE 0 END::INT AS level FROM s JOIN b USING (doc_id)",
+)
+def font_mode_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("run_idx"), (F.col("p_size").cast("double") / 10).alias("size"), F.col("p_name").alias("text"))
+    return passes.font_levels(runs).select("doc_id", "run_idx", "level")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("entry"), ((F.col("turn") * 5) % 4 + 1).cast("int").alias("level"), F.concat("role", F.col("turn").cast("string")).alias("title"), (F.col("turn") * 2 + 1).cast("int").alias("page"))
+
+
+_ENTRIES = "SELECT conv_id AS doc_id, turn::INT AS entry, ((turn * 5) % 4 + 1)::INT AS level, role || turn AS title, (turn * 2 + 1)::INT AS page FROM conversations"
+
+
+@query(
+    "toc_ancestors",
+    f"WITH e AS ({_ENTRIES}) SELECT i.doc_id, i.entry, string_agg(j.title, ' ' ORDER BY j.entry) AS chain FROM e i JOIN e j ON i.doc_id = j.doc_id AND j.entry <= i.entry AND j.level <= i.level WHERE NOT EXISTS (FROM e m WHERE m.doc_id = i.doc_id AND m.entry > j.entry AND m.entry <= i.entry AND m.level <= j.level) GROUP BY i.doc_id, i.entry",
+)
+def toc_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passes.ancestor_titles(_entries(spark, sf_dir)).select("doc_id", "entry", "chain")
+
+
+@query("toc_page_owner", f"WITH e AS ({_ENTRIES}), p AS (SELECT DISTINCT doc_id, unnest(range(0, 20))::INT AS page FROM e) SELECT p.doc_id, p.page, max(e.entry) AS entry FROM p LEFT JOIN e ON e.doc_id = p.doc_id AND e.page <= p.page GROUP BY p.doc_id, p.page")
+def toc_page_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _entries(spark, sf_dir)
+    pages = entries.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("page"))
+    return passes.page_owners(pages, entries)
+
+
+@query("drop_repeats", "SELECT user_id, event_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type")
+def drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passes.drop_repeats(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query("subtitle_clean", "SELECT user_id, string_agg(event_type, chr(10) ORDER BY event_id) AS content FROM events GROUP BY user_id")
+def subtitle_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cue = F.concat(F.col("event_id").cast("string"), F.lit("\r\n00:00:01,000 --> 00:00:02,000\r\n<i>"), "event_type", F.lit("</i>\r\n"))
+    made = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("event_id", cue.alias("c"))))["c"], "\r\n").alias("text"))
+    return made.select("user_id", T.subtitle_text(F.col("text")).alias("content"))
+
+
+@query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k, md5(props) AS props_md5 FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.md5(F.col("props").cast("binary")).alias("props_md5"))
+
+
+@query("vcard_unfold", "SELECT c_custkey, 'BEGIN:VCARD' || chr(10) || 'FN:' || c_name || chr(10) || 'ORG:' || c_mktsegment || chr(10) || 'END:VCARD' AS content FROM customer")
+def vcard_unfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("BEGIN:VCARD\r\nFN:"), F.substring("c_name", 1, 4), F.lit("\r\n "), F.substring("c_name", 5, 1000), F.lit("\r\nORG:"), "c_mktsegment", F.lit("\r\nEND:VCARD"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.unfold(made).alias("content"))
+
+
+@query("batch_report", "SELECT count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS n_ok, count(*) FILTER (doc_id % 10 = 0) AS n_failed, count(*) FILTER (doc_id % 10 <> 0 AND trim(text) <> '')::BIGINT AS n_paragraphs, min(doc_id) FILTER (doc_id % 10 = 0) AS first_failure, 'unsupported file format: ' || min(doc_id) FILTER (doc_id % 10 = 0) || '.mp4' AS first_error FROM documents")
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.when(F.col("doc_id") % 10 == 0, ".mp4").otherwise(".txt")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.concat(F.col("doc_id").cast("string"), ending).alias("name"), F.col("text").cast("binary").alias("content"))
+    return files.batch_report(files.slice_many(docs, SliceOptions(limit=100_000)))
+
+
+@query("numbering_stripped", "SELECT p_partkey, p_name AS title FROM part")
+def numbering_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_partkey").cast("string"), F.lit(".2 "))).when(F.col("p_partkey") % 3 == 1, F.lit("第三章 ")).otherwise(F.lit("（二）、"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.numbering_stripped(F.concat(lead, "p_name")).alias("title"))
+
+
+@query("data_uri_round_trip", "SELECT doc_id, md5('data:text/plain;base64,' || base64(encode(text))) AS uri, md5(text) AS back FROM documents")
+def data_uri_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = T.data_uri(F.col("text").cast("binary"), F.lit("text/plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(uri.cast("binary")).alias("uri"), F.md5(T.data_uri_bytes(uri)).alias("back"))
+
+
+@query(
+    "fill_merged_cells",
+    "WITH c AS (SELECT n_regionkey AS sheet, (n_nationkey // 5)::INT AS r, (n_nationkey % 5)::INT AS c, n_name AS value FROM nation), g AS (SELECT s AS sheet, r, c FROM (SELECT DISTINCT sheet AS s FROM c), (SELECT unnest(range(0, 2))::INT AS r), (SELECT unnest(range(0, 3))::INT AS c)) "
+    "SELECT coalesce(c.sheet, g.sheet) AS sheet, coalesce(c.r, g.r) AS r, coalesce(c.c, g.c) AS c, CASE WHEN g.sheet IS NOT NULL THEN coalesce(l.value, c.value) ELSE c.value END AS value FROM c FULL JOIN g ON c.sheet = g.sheet AND c.r = g.r AND c.c = g.c LEFT JOIN c l ON l.sheet = g.sheet AND l.r = 0 AND l.c = 0",
+)
+def fill_merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("sheet"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("r"), (F.col("n_nationkey") % 5).cast("int").alias("c"), F.col("n_name").alias("value"))
+    ranges = cells.select("sheet").distinct().select("sheet", F.lit(0).alias("r1"), F.lit(0).alias("c1"), F.lit(1).alias("r2"), F.lit(2).alias("c2"))
+    return tables.fill_merged(cells, ranges)
+
+
+@query("cached_formula_values", "SELECT n_regionkey AS sheet, n_nationkey::INT AS r, 0 AS c, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '=A' || n_nationkey END AS value FROM nation")
+def cached_formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("sheet"), F.col("n_nationkey").cast("int").alias("r"), F.lit(0).alias("c"), F.concat(F.lit("=A"), F.col("n_nationkey").cast("string")).alias("value"), "n_name")
+    return tables.cached_values(cells.drop("n_name"), cells.filter("r % 2 = 0").select("sheet", "r", "c", F.col("n_name").alias("value")))
