@@ -749,7 +749,7 @@ def _repaired(name: str) -> str:
 
 
 def read_tar(content: bytes, name: str, context: Context) -> list[Group]:
-    opened = {b"\x1f\x8b": gzip.GzipFile, b"BZ": bz2.BZ2File, b"\xfd7": lzma.LZMAFile}.get(content[:2])
+    opened = {b"\x1f\x8b": lambda f: gzip.GzipFile(fileobj=f), b"BZ": bz2.BZ2File, b"\xfd7": lzma.LZMAFile}.get(content[:2])
     found, total = [], 0
     try:
         with tarfile.open(fileobj=opened(io.BytesIO(content)) if opened else io.BytesIO(content), mode="r|") as archive:
