@@ -281,10 +281,8 @@ def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = turns.filter("para_idx = 1").select("doc_id", F.right(F.col("content"), F.lit(40)).alias("anchor"))
     made = turns.select("doc_id").distinct().join(second, "doc_id", "left")
     kinds = [("r", "null", "null", "null"), ("h", "'<b>Assistant 1</b>'", "null", "null"), ("a", "null", "anchor", "null"), ("d", "null", "null", "'document'"), ("n", "null", "'none of these words'", "null")]
-    parts = [made.selectExpr("doc_id", f"concat('{k}', doc_id) as id", f"{i} as idx", f"cast({h} as string) as heading", f"cast({a} as string) as anchor", f"cast({r} as string) as role") for i, (k, h, a, r) in enumerate(kinds)]
-    assets = parts[0]
-    for p in parts[1:]:
-        assets = assets.unionByName(p)
+    each = ", ".join(f"named_struct('id', concat('{k}', doc_id), 'idx', {i}, 'heading', cast({h} as string), 'anchor', cast({a} as string), 'role', cast({r} as string))" for i, (k, h, a, r) in enumerate(kinds))
+    assets = made.select("doc_id", F.explode(F.expr(f"array({each})")).alias("a")).select("doc_id", "a.*")
     return media.attach(paragraphs, assets)
 
 
