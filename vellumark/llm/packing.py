@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import heapq
-import struct
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,17 @@ PART = 512
 GROUP = 2048
 CACHE = 200_000
 END_ID = 1
-_PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_BEYOND = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]")
+
+
+def latin(pattern: str) -> str:
+    """The pattern for the standard library's re, letters and numbers written out: right for texts that _BEYOND doesn't find in."""
+    chars = [chr(c) for c in range(0x250)]
+    letters, numbers = ("".join(c for c in chars if unicodedata.category(c)[0] == kind) for kind in "LN")
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    if r"\p" in out:
+        raise ValueError("a pattern with other classes than letters and numbers")
+    return out
 
 
 class Encoder:
@@ -45,11 +56,11 @@ class Encoder:
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.pieces = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cut = regex.compile(pattern).findall
-        self.known = _Known(self.pieces.encode_ordinary)
+        self.cut = re.compile(latin(pattern)).findall
+        self.known = _Known(self.pieces._core_bpe.encode_single_piece)
 
     def __call__(self, text: str) -> bytes:
-        if _PLAIN.search(text):
+        if _BEYOND.search(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.known.__getitem__, self.cut(text)))
 
@@ -59,8 +70,7 @@ class _Known(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = array("I", self.encode(piece.encode())).tobytes()
         if len(self) < CACHE:
             self[piece] = out
         return out
