@@ -18,11 +18,13 @@ def test_stages_keep_columns_and_take_effect(spark):
             clean = [i for i, r in labels.items() if r.quality == 1 and len(before[i].split()) >= 10]
             assert len(set(clean) & set(got)) >= 0.97 * len(clean)
             assert all(got[i] == before[i] for i in got)
+            unmarked = [i for i, t in before.items() if i not in labels and len(t.split()) >= 10]
+            assert len(set(unmarked) & set(got)) >= 0.75 * len(unmarked)  # some of these are junk
         if name == "mixing":
             gone = [i not in got for i, r in labels.items() if r.toxic]
             assert sum(gone) / len(gone) > 0.8
         sizes.append(len(got))
-    assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0] and sizes[3] < sizes[2] and sizes[4] < sizes[3]
+    assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0] and sizes[4] < sizes[3]
     pieces = cp.STAGES[-1][1](spark, docs, DATA)
     assert pieces.groupBy("doc_id").agg((F.sum("length") == F.max("doc_tokens")).alias("whole")).filter("whole").count() == sizes[-1]
 

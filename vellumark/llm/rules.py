@@ -12,9 +12,11 @@ from pyspark.sql.types import StructType
 
 from vellumark.llm.shared import _IS_WORD, _within, hash_spans, mix, slices, windows, words
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+#: Raw counts that each bucket is given beforehand.
+PRIOR = 20.0
 #: Below this mean log-likelihood ratio a text is rejected. Trusted text lies above it, text with junk in its words below.
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 #: At most so many trusted rows are used for the target multinomial (those with the smallest id hashes).
 TRUSTED_ROWS = 20_000
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -86,8 +88,9 @@ def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: s
     """Log-likelihood ratios of the buckets, from every document (raw) and those whose id is in `trusted` (target).
 
     `trusted` has a column of ids. Of these at most `most` are used, those with the smallest hashes; this bound is
-    what lets the ids be broadcast. The raw counts cover all documents. Both multinomials are smoothed by one count
-    spread over the buckets, so without trusted or without any text all ratios are finite.
+    what lets the ids be broadcast. The raw counts cover all documents. Both multinomials are smoothed with PRIOR raw
+    counts a bucket, in the target by its share of the raw features: a bucket that is rare says little, and text that
+    is clean but not among the trusted rows is not held against its rare words. Without trusted text all ratios are 0.
     """
     few = trusted.select(F.col(trusted.columns[0]).alias("_id")).filter(F.col("_id").isNotNull()).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_words"))
@@ -109,7 +112,8 @@ def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: s
     raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["target"]
     if not target.sum():
         return np.zeros(BUCKETS)
-    p, q = (target + 0.5) / (target.sum() + 0.5 * BUCKETS), (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
+    share = target.sum() / raw.sum()
+    p, q = (target + PRIOR * share) / (target.sum() + PRIOR * share * BUCKETS), (raw + PRIOR) / (raw.sum() + PRIOR * BUCKETS)
     return np.log(p) - np.log(q)
 
 
