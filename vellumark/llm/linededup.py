@@ -42,7 +42,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, doc_id:
         common = pairs.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count("_one").alias("_docs"))
         common = common.filter(F.col("_docs") >= min_docs)
     common = common.select(F.col("_h1").alias("_c1"), F.col("_h2").alias("_c2"), "_first")
-    marked = lines.join(common, (F.col("_h1") == F.col("_c1")) & (F.col("_h2") == F.col("_c2")) & (F.col("_doc") != F.col("_first")))
+    # Joined on one hash, the other is compared: counts are dealt by both, so they are dealt anew here, and with two plain
+    # exchanges below it adaptive execution splits the join where one line is very common.
+    same = (F.col("_h1") == F.col("_c1")) & (F.col("_h2").bitwiseXOR(F.col("_c2")) == 0)
+    marked = lines.join(common, same & (F.col("_doc") != F.col("_first")))
     gone = marked.groupBy("_doc", "_text").agg(F.collect_set("_pos").alias("_gone"))
     split = base.withColumn("_mine", F.xxhash64(text)).join(gone, (F.col(doc_id) == F.col("_doc")) & (F.col("_mine") == F.col("_text")), "left")
     split = split.withColumn("_lines", F.split(text, "\n")).withColumn("n_lines", F.size("_lines").cast("long"))
