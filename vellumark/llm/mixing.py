@@ -15,7 +15,9 @@ from vellumark.llm.shared import cut, hash_spans, slices, words
 
 #: Labelled rows the classifier is fitted on, at most (those with the smallest id hashes).
 LABELLED_ROWS = 6000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 40
+#: Of each domain at most so many features are used: those most over-represented in it, by at least so many standard deviations.
+CHOSEN, DEVIATIONS = 100, 6.0
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
 _EDGES = np.array([0.001, 0.01, 0.03, 0.1, 0.3, 0.6])
@@ -43,18 +45,24 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs // WIDTH, pairs % WIDTH, counts
 
 
-def posteriors(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Domain posteriors and word counts of the texts of a slice; weights has a row for each feature and a last one of biases."""
+def posteriors(data: np.ndarray, offsets: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Domain posteriors and word counts of the texts of a slice; weights: sorted features, and a row for each and one of biases."""
     at, feature, counts = features(data, offsets)
     n = len(offsets) - 1
-    scores = np.column_stack([np.bincount(at, weights=w[feature], minlength=n) for w in weights[:-1].T]) + weights[-1]
+    used, value = weights
+    place = np.minimum(np.searchsorted(used, feature), max(0, len(used) - 1))
+    known = used[place] == feature if len(used) else np.zeros(len(feature), bool)
+    at, place = at[known], place[known]
+    scores = np.column_stack([np.bincount(at, weights=w[place], minlength=n) for w in value[:-1].T]) + value[-1]
     scores = np.exp(scores - scores.max(axis=1, keepdims=True))
     return scores / scores.sum(axis=1, keepdims=True), counts
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int = LABELLED_ROWS, penalty: float = 1e-4, steps: int = 80, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int = LABELLED_ROWS, penalty: float = 1e-4, steps: int = 150, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Weights of a multinomial logistic regression of the domain on hashed words, by Adam on at most `most` labelled rows.
 
+    Of each domain only the features that mark it most are used; with all of them rare words would be learnt by heart.
+
     Features are made on the executors; the driver gets the distinct feature numbers of the chosen texts only.
     """
     chosen = labelled.select(F.col(labelled.columns[0]).alias("_id"), F.col(labelled.columns[1]).alias("_domain")).filter(F.col("_id").isNotNull() & F.col("_domain").isin(domains))
@@ -67,20 +75,30 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], mos
                 at, feature, _ = features(data, offsets)
                 order = np.argsort(at, kind="stable")
                 ends = np.searchsorted(at[order], np.arange(end - first + 1))
-                own = [np.sort(feature[order[a:b]]).astype("<i4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                own = [np.sort(feature[order[a:b]]).astype("<i8").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array(own, pa.binary())], names=["id", "domain", "own"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, domain string, own binary").toArrow()
-    weights = np.zeros((WIDTH + 1, len(domains)))
     if not got.num_rows:
-        return weights
+        return np.zeros(0, np.int64), np.zeros((1, len(domains)))
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
-    own = [np.frombuffer(got.column("own")[int(i)].as_py(), "<i4") for i in order]
+    own = [np.frombuffer(got.column("own")[int(i)].as_py(), "<i8") for i in order]
     y = np.asarray([domains.index(got.column("domain")[int(i)].as_py()) for i in order])
     n = len(y)
     at, feature = np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)
     used, column = np.unique(feature, return_inverse=True)
+    texts, chosen_features = np.bincount(column).astype(float), np.zeros(len(used), bool)
+    for d in range(len(domains)):
+        mine = y == d
+        expected = texts * mine.mean()
+        over = np.bincount(column[mine[at]], minlength=len(used)) - expected
+        over /= np.sqrt(np.maximum(expected * (1 - mine.mean()) * (1 - texts / n), 1e-9))
+        over[texts < 3] = 0
+        first = np.argsort(-over, kind="stable")[:CHOSEN]
+        chosen_features[first[over[first] >= DEVIATIONS]] = True
+    at, used = at[chosen_features[column]], used[chosen_features]
+    column = (np.cumsum(chosen_features) - 1)[column[chosen_features[column]]]
     value = np.zeros((len(used) + 1, len(domains)))
     mean, square = np.zeros_like(value), np.zeros_like(value)
     hot = np.eye(len(domains))[y]
@@ -91,8 +109,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], mos
         slope = np.vstack([np.column_stack([np.bincount(column, weights=e[at], minlength=len(used)) for e in error.T]), error.sum(0)]) + penalty * value
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
         value -= 0.05 * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-6)
-    weights[used], weights[-1] = value[:-1], value[-1]
-    return weights
+    return used, value
 
 
 def rates(p: np.ndarray, history: np.ndarray, most: float) -> np.ndarray:
