@@ -132,6 +132,51 @@ def test_language_model_counts_and_bounds(spark, monkeypatch):
     assert brown.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_beyond_the_exchanged_ones_get_learnt_classes(spark, monkeypatch):
+    draw = random.Random(8)
+    kinds = [[f"{a}{i:04d}z" for i in range(1500)] for a in "ab"]  # all of one shape; the kinds alternate
+    docs = [(i, " ".join(draw.choice(kinds[k % 2]) for k in range(i % 2, i % 2 + 40))) for i in range(800)]
+    count = Counter(w for d, t in docs if zlib.crc32(str(d).encode()) % 10 for w in t.split())
+    order = [w for w, _ in count.most_common()]
+    rare = [[w for w in order[2000:] if w[0] == a][:6] for a in "ab"]
+    right, wrong = [w for p in zip(*rare, strict=True) for w in p], rare[0] + rare[1]
+    held = [i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    docs += [(held[0], " ".join(right)), (held[1], " ".join(wrong)), (held[2], "a9999z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    one = {r.doc_id: r.score for r in brown.score_texts(df).collect()}
+    assert one[held[0]] > one[held[1]] + 1  # the same words: only their classes can tell the orders apart
+    monkeypatch.setattr(brown, "BROADCAST_WORDS", 100)  # classes come from the join
+    two = {r.doc_id: r.score for r in brown.score_texts(df).collect()}
+    assert one.keys() == two.keys() and all(abs(one[d] - two[d]) < 1e-6 for d in one)
+
+
+def test_placing_takes_the_class_of_the_highest_likelihood():
+    draw = np.random.default_rng(6)
+    table = draw.poisson(4.0, (7, 7)).astype(float)
+    entries = np.array([(w, c) for w in range(9) for c in range(14) if (w * 5 + c * 3) % 4 < 2])
+    n = draw.integers(1, 9, len(entries)).astype(float)
+    for w in range(9):  # as often after a word as before one
+        mine = entries[:, 0] == w
+        left, right = mine & (entries[:, 1] < 7), mine & (entries[:, 1] >= 7)
+        n[np.flatnonzero(left)[0]] += max(0.0, n[right].sum() - n[left].sum())
+        n[np.flatnonzero(right)[0]] += max(0.0, n[left].sum() - n[right].sum())
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    want = []
+    for w in range(9):
+        marks = []
+        for k in range(5):
+            t = table.copy()
+            for (v, c), m in zip(entries, n, strict=True):
+                if v == w:
+                    t[(c, k) if c < 7 else (k, c - 7)] += m
+            rows, columns = table.sum(1), table.sum(0)
+            rows[k] += n[(entries[:, 0] == w) & (entries[:, 1] < 7)].sum()
+            columns[k] += n[(entries[:, 0] == w) & (entries[:, 1] < 7)].sum()
+            marks.append(f(t) - f(rows) - f(columns))
+        want.append(int(np.argmax(marks)))
+    assert brown.best_classes(entries[:, 0], entries[:, 1], n, table, 5).tolist() == want
+
+
 def test_exchange_never_lowers_the_likelihood():
     draw = np.random.default_rng(4)
     kind = np.arange(40) % 4

@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.llm.shared import cut, hash_spans, mix, slices, words
 
-#: Words that exchange clustering assigns (the most frequent), and the classes it assigns them to.
+#: Words that are exchanged first (the most frequent; every other word is placed by its neighbours after them), and the classes of all words.
 CLUSTERED, CLASSES, SWEEPS = 1024, 64, 5
 #: At most so many word counts are broadcast (the highest); the tokens of all other words get theirs in a join.
 BROADCAST_WORDS = 1 << 18
 SHAPES = 16
 UNITS = CLUSTERED + SHAPES + 1  # the last is the end of a text
+#: Neighbours that a word is placed by: the classes, the shapes of words not placed yet, and the end. Codes of a text's tokens: the classes, the end, and words unseen in training by shape.
+NEIGHBOURS, END, CODES = CLASSES + SHAPES + 1, CLASSES, CLASSES + 1 + SHAPES
 _KIND = np.zeros(256, np.int64)
 _KIND[[ord(c) for c in "0123456789"]] = 1
 _KIND[[ord(c) for c in ".,;:!?"]] = 2
@@ -146,18 +149,165 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int = CLASSES, sweeps:
     return of
 
 
+def _neighbours(rows: DataFrame, top: Broadcast, of: np.ndarray) -> DataFrame:
+    """(h, shape, seen) of the words of `rows` that are not in `top`: n * 512 + code, each code once, for n neighbours of that code (left, or NEIGHBOURS and more: right)."""
+    width = 2 * NEIGHBOURS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            h, shape, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            unique, at, back = np.unique(h, return_index=True, return_inverse=True)
+            key, back = np.unique(back * width + code, return_inverse=True)
+            word = key // width
+            return unique[word], shape[at][word], key % width, np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
+
+        def out(x: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            h, shape, code, n = x
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            bounds = np.append(first, len(h))
+            for k in range(0, len(first), 20_000):
+                b = bounds[k : k + 20_001]
+                seen = pa.ListArray.from_arrays(pa.array(b - b[0], pa.int32()), pa.array(n[b[0] : b[-1]] * 512 + code[b[0] : b[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[b[:-1]].view(np.int64)), pa.array(shape[b[:-1]]), seen], names=["h", "shape", "seen"])
+
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                h, shape, number = tokens(data, offsets)
+                units = _units(h, shape, top.value)
+                chain, before = _chain(units, number)
+                after = np.append(chain[1:], UNITS - 1)
+                inside = np.ones(len(chain), dtype=bool)
+                inside[np.cumsum(number + 1) - 1] = False
+                mine = np.flatnonzero(units >= CLUSTERED)
+                h, shape, left, right = h[mine], shape[mine], of[before[inside][mine]], of[after[inside][mine]]
+                one = np.ones(len(mine), np.int64)
+                held.append(merged([(h, shape, left, one), (h, shape, right + NEIGHBOURS, one)]))
+                size += len(held[-1][0])
+                if size > 1_500_000:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield from out(held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(merged(held))
+
+    return rows.mapInArrow(run, "h long, shape long, seen array<long>")
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """The class of each word that raises the likelihood of the class bigrams `table` most; ties go to the lower class.
+
+    Entries are ordered by word, and words numbered from 0 without gaps. An entry says that the word stands n times
+    after the unit `code` (code < len(table)) or before the unit code - len(table).
+    """
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1e-300))
+
+    size = len(table)
+    # One line for each code: what the class bigrams with that neighbour are now, class by class.
+    lines = np.vstack([table[:, :classes], table[:classes].T])
+    now = f(lines)
+    number = int(word[-1]) + 1 if len(word) else 0
+    gain = np.zeros((number, classes))
+    for k in range(0, len(word), 50_000):
+        w, c, m = word[k : k + 50_000], code[k : k + 50_000], n[k : k + 50_000, None]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        gain[w[first]] += np.add.reduceat(f(lines[c] + m) - now[c], first)
+    # Neighbours of the class itself on both sides meet in one cell.
+    diagonal, sides = np.diagonal(table)[:classes], []
+    for begin in (0, size):
+        own = (code >= begin) & (code < begin + classes)
+        sides.append(np.bincount(word[own] * classes + code[own] - begin, weights=n[own], minlength=number * classes).reshape(number, classes))
+    gain += f(diagonal + sides[0] + sides[1]) - f(diagonal + sides[0]) - f(diagonal + sides[1]) + f(diagonal)
+    times = np.bincount(word, weights=n * (code < size), minlength=number)[:, None]
+    rows, columns = table[:classes].sum(1), table[:, :classes].sum(0)
+    gain -= f(rows + times) - f(rows) + f(columns + times) - f(columns)
+    return np.argmax(np.round(gain, 6), axis=1)
+
+
+def _place(found: DataFrame, table: np.ndarray) -> DataFrame:
+    """(h, shape, n, class) of every word of `found`, which has the neighbours of a word in one row or several."""
+    spark = found.sparkSession
+    sent = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def placed(h: np.ndarray, shape: np.ndarray, owner: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            word = np.cumsum(new) - 1
+            key, back = np.unique(word[owner] * (2 * NEIGHBOURS) + (seen & 511), return_inverse=True)
+            n = np.bincount(back, weights=seen >> 9, minlength=len(key))
+            word, code = key // (2 * NEIGHBOURS), key % (2 * NEIGHBOURS)
+            of = best_classes(word, code, n, sent.value)
+            times = np.bincount(word, weights=n * (code < NEIGHBOURS), minlength=len(of)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(shape[new]), pa.array(times), pa.array(of.astype(np.int64))], names=["h", "shape", "n", "class"])
+
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            h = whole.column("h").to_numpy()
+            last = int(np.flatnonzero(h != h[-1])[-1]) + 1 if h[0] != h[-1] else 0
+            if last:
+                yield placed(*_flat(whole.slice(0, last)))
+            rest = [_summed(whole.slice(last))]
+        if rest:
+            yield placed(*_flat(pa.Table.from_batches(rest)))
+
+    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, shape long, n long, class long")
+
+
+def _flat(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """h and shape of rows, and of each of their neighbours its row and itself."""
+    seen = rows.column("seen").combine_chunks()
+    seen = seen.chunk(0) if isinstance(seen, pa.ChunkedArray) else seen
+    owner = np.repeat(np.arange(len(seen)), seen.value_lengths().to_numpy(zero_copy_only=False))
+    return rows.column("h").to_numpy(), rows.column("shape").to_numpy(), owner, seen.flatten().to_numpy()
+
+
+def _summed(rows: pa.Table) -> pa.RecordBatch:
+    """Rows of one word as one row."""
+    h, shape, _, seen = _flat(rows)
+    code, back = np.unique(seen & 511, return_inverse=True)
+    n = np.bincount(back, weights=seen >> 9, minlength=len(code)).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array([0, len(code)], pa.int32()), pa.array(n * 512 + code))
+    return pa.RecordBatch.from_arrays([pa.array(h[:1]), pa.array(shape[:1]), lists.cast(rows.schema.field("seen").type)], schema=rows.schema)
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token codes of all texts, the code before each, and how many each text has."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    chain = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+    return chain, np.concatenate(([END], chain[:-1])), np.diff(offsets)
+
+
 def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens (long), base_score and score (double) for every row of `docs`.
 
     Tokens are words with A-Z in lower case and one end for each text. The model learns from the texts that held_out()
-    leaves: exchange clustering puts the CLUSTERED most frequent words into CLASSES classes by their bigram counts over
-    the whole training part; every other word belongs to the class of its shape, the end to its own. score is the sum
-    over tokens of log10 P(class | class before) + log10 P(word | class). Transitions are smoothed by the class
-    frequencies. Emissions of the shape classes are discounted absolutely, and what is taken off is the probability of
-    a word unseen in training, as one type, just as base_score counts it: log10((c + alpha) / (N + alpha * (V + 1))).
+    leaves, and every word of them gets one of CLASSES learnt classes; the end has its own.
+
+    1. Exchange clustering of the CLUSTERED most frequent words by their bigram counts over the whole training part.
+       The other words count as neighbours by their shape here.
+    2. Every other word, however rare, goes to the class where the likelihood of these class bigrams is raised most by
+       the sums of all its left and right neighbours in the training part.
+    3. Class bigrams are counted again over all training tokens, by the classes of step 2.
+
+    score is the sum over tokens of log10 P(class | class before) + log10 P(word | class). Transitions are smoothed by
+    the class frequencies. Emissions are discounted absolutely, class by class, and what is taken off is the probability
+    of words unseen in training, one type for each shape, dealt over the shapes as the class's words of count one are.
+    As the class of an unseen word is not known, its probability is the sum over all classes, and what follows it is
+    weighted by its share in each. base_score counts one unseen type: log10((c + alpha) / (N + alpha * (V + 1))).
 
     Counts are exact and cover all training tokens. Only the BROADCAST_WORDS highest are sent to the executors; tokens
-    of other words are joined with their counts, one row for each text and word. Word hashes have 64 bits.
+    of other words are joined with their counts and classes, one row for each text and word, and put back at their
+    places, for which a text is held as one byte a token. Word hashes have 64 bits.
 
     Null texts are empty: one token, the end. A null id counts as held out. Repeated rows are each scored and each
     count. Without training texts every word is unknown and all classes are equally likely. Other columns are ignored;
@@ -178,12 +328,9 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
         if sent > BROADCAST_WORDS:
             break
         lowest = at
-    frequent = counts.filter(level >= lowest).toArrow()
-    order = np.argsort(frequent.column("h").to_numpy().view(np.uint64), kind="stable")
-    known = frequent.column("h").to_numpy().view(np.uint64)[order]
-    known_n = frequent.column("n").to_numpy()[order].astype(np.float64)
-    best = np.lexsort((known, -known_n))[:CLUSTERED]
-    top = (np.sort(known[best]), np.argsort(known[best], kind="stable").astype(np.int64))
+    core = counts.orderBy(F.desc("n"), "h").limit(CLUSTERED).toArrow()
+    core_h, core_shape, core_n = core.column("h").to_numpy().view(np.uint64), core.column("shape").to_numpy(), core.column("n").to_numpy()
+    top = (np.sort(core_h), np.argsort(core_h, kind="stable").astype(np.int64))
     sent_top = spark.sparkContext.broadcast(top)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,89 +350,150 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
     bigrams[gathered.column("code").to_numpy()] = gathered.column("n").to_numpy()
     bigrams = bigrams.reshape(UNITS, UNITS)
     of = exchange(bigrams, CLUSTERED)
-    size = int(of.max()) + 1
-    member = np.zeros((UNITS, size))
+    member = np.zeros((UNITS, NEIGHBOURS))
     member[np.arange(UNITS), of] = 1
-    table = member.T @ bigrams @ member
-    share = (table.sum(0) + 1) / (table.sum() + size)
-    transition = np.log10((table + 5 * share) / (table.sum(1, keepdims=True) + 5))
-
-    # Emissions: exact shares in the clustered classes, absolute discounting in those of shapes.
-    chosen = spark.createDataFrame(pa.table({"h": top[0].view(np.int64)}))
-    ones = counts.join(F.broadcast(chosen), "h", "left_anti").groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
-    discount, shape_n, unseen = np.full(SHAPES, 0.5), np.ones(SHAPES), np.ones(SHAPES)
-    for row in ones:
-        d = min(0.95, max(0.05, row["n1"] / max(1, row["n1"] + 2 * row["n2"])))
-        discount[row["shape"]], shape_n[row["shape"]], unseen[row["shape"]] = d, row["n"], d * row["v"] / row["n"]
-    class_n = np.bincount(of, weights=bigrams.sum(0), minlength=size)
-    model = {"known": known, "n": known_n, "top": top, "of": of, "transition": transition, "emit": np.log10(np.maximum(bigrams.sum(0), 1) / np.maximum(class_n[of], 1)), "discount": discount, "shape_n": shape_n, "ends": n_docs, "alpha": alpha}
+    placed = cut(_place(_neighbours(train, sent_top, of), member.T @ bigrams @ member))
+
+    # Emissions: absolute discounting in every class.
+    n_class, n_types, ones, twos = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros((CLASSES, SHAPES)), np.zeros(CLASSES)
+    for row in placed.groupBy("class", "shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():
+        n_class[row["class"]] += row["n"]
+        n_types[row["class"]] += row["v"]
+        ones[row["class"], row["shape"]] += row["n1"]
+        twos[row["class"]] += row["n2"]
+    core_of = of[: len(core_h)]
+    np.add.at(n_class, core_of, core_n)
+    np.add.at(n_types, core_of, 1)
+    np.add.at(ones, (core_of, core_shape), core_n == 1)
+    np.add.at(twos, core_of, core_n == 2)
+    discount = np.clip(ones.sum(1) / np.maximum(1, ones.sum(1) + 2 * twos), 0.05, 0.95)
+    unseen = np.where(n_class > 0, discount * n_types / np.maximum(1, n_class), 1.0)
+    shared = (ones.sum(0) + 1) / (ones.sum() + SHAPES)
+    by_shape = unseen[:, None] * (ones + shared) / (ones.sum(1, keepdims=True) + 1)
+    n_class = np.maximum(1, n_class)
+
+    frequent = placed.filter(level >= lowest).toArrow()
+    known = np.concatenate((core_h, frequent.column("h").to_numpy().view(np.uint64)))
+    order = np.argsort(known, kind="stable")
+    known_n = np.concatenate((core_n, frequent.column("n").to_numpy()))[order].astype(np.float64)
+    known_of = np.concatenate((core_of, frequent.column("class").to_numpy()))[order].astype(np.uint8)
+    model = {"known": known[order], "n": known_n, "of": known_of, "discount": discount, "n_class": n_class, "ends": n_docs, "alpha": alpha}
     sent_model = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent_model.value
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(2)):
                 h, shape, number = tokens(data, offsets)
                 n = len(number)
                 owner = np.repeat(np.arange(n), number)
-                at = np.minimum(np.searchsorted(m["known"], h), max(0, len(m["known"]) - 1))
-                have = m["known"][at] == h if len(m["known"]) else np.zeros(len(h), bool)
-                c = np.where(have, m["n"][at], 0.0) if len(m["known"]) else np.zeros(len(h))
-                units = _units(h, shape, m["top"])
-                chain, before = _chain(units, number)
-                steps = m["transition"][m["of"][before], m["of"][chain]]
-                total_step = np.bincount(np.repeat(np.arange(n), number + 1), weights=steps, minlength=n)
-                single = units < CLUSTERED
-                emit = np.where(single, m["emit"][units], np.where(have, np.log10(np.maximum(c - m["discount"][shape], 1e-9) / m["shape_n"][shape]), 0.0))
-                sums = {
-                    "base": np.bincount(owner, weights=np.where(have, np.log10(c + m["alpha"]), 0.0), minlength=n) + np.log10(m["ends"] + m["alpha"]),
-                    "model": np.bincount(owner, weights=emit, minlength=n) + total_step,
-                }
+                begin = np.cumsum(number) - number
+                if len(m["known"]):
+                    at = np.minimum(np.searchsorted(m["known"], h), len(m["known"]) - 1)
+                    have = m["known"][at] == h
+                    c, cls = np.where(have, m["n"][at], 1.0), m["of"][at].astype(np.int64)
+                else:
+                    have, c, cls = np.zeros(len(h), bool), np.ones(len(h)), np.zeros(len(h), np.int64)
+                emit = np.where(have, np.log10(np.maximum(c - m["discount"][cls], 1e-9) / m["n_class"][cls]), 0.0)
+                base_sum = np.bincount(owner, weights=np.where(have, np.log10(c + m["alpha"]), 0.0), minlength=n) + np.log10(m["ends"] + m["alpha"])
+                emit_sum = np.bincount(owner, weights=emit, minlength=n)
                 seen = np.bincount(owner, weights=have, minlength=n).astype(np.int64) + (m["ends"] > 0)
-                # The words without a count here: one row for each text and word.
+                # A byte a token; those of words not sent are filled in after the join.
+                codes = np.full(int(number.sum()) + n, END, np.uint8)
+                codes[np.arange(len(h)) + owner] = np.where(have, cls, CLASSES + 1 + shape)
+                edges = np.concatenate(([0], np.cumsum(number + 1)))
+                chain = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(codes)])
+                # The words without a count here: one row for each text and word, with its places.
                 lost = np.flatnonzero(~have)
-                _, pick, times = np.unique(mix(h[lost] + (owner[lost].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                lost = lost[pick]
+                lost = lost[np.lexsort((h[lost], owner[lost]))]
+                new = np.ones(len(lost), dtype=bool)
+                new[1:] = (h[lost][1:] != h[lost][:-1]) | (owner[lost][1:] != owner[lost][:-1])
+                pick = lost[new]
+                bounds = np.concatenate((np.zeros(n, np.int64), np.append(np.flatnonzero(new), len(lost))))
+                places = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(lost - begin[owner[lost]], pa.int32()))
                 doc, mine = batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first)
-                where = pa.array(np.concatenate((np.arange(n), owner[lost])))
-                zeros = np.zeros(len(lost))
+                where = pa.array(np.concatenate((np.arange(n), owner[pick])))
+                zeros = np.zeros(len(pick))
                 own = mix(np.asarray(mine).astype(np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc.take(where),
                         mine.take(where),
-                        pa.array(np.concatenate((own, h[lost])).view(np.int64)),
-                        pa.array(np.concatenate((np.full(n, -1), shape[lost]))),
-                        pa.array(np.concatenate((np.ones(n, np.int64), times))),
+                        pa.array(np.concatenate((own, h[pick])).view(np.int64)),
+                        pa.array(np.concatenate((np.full(n, -1), shape[pick]))),
+                        places,
                         pa.array(np.concatenate((number + 1, zeros.astype(np.int64)))),
                         pa.array(np.concatenate((seen, zeros.astype(np.int64)))),
-                        pa.array(np.concatenate((sums["base"], zeros))),
-                        pa.array(np.concatenate((sums["model"], zeros))),
+                        pa.array(np.concatenate((base_sum, zeros))),
+                        pa.array(np.concatenate((emit_sum, zeros))),
+                        pa.concat_arrays([chain, pa.nulls(len(pick), pa.binary())]),
                     ],
-                    names=["doc", "mine", "h", "shape", "times", "n_tokens", "n_known", "base", "model"],
+                    names=["doc", "mine", "h", "shape", "places", "n_tokens", "n_known", "base", "emit", "chain"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     source = base.select("doc", F.xxhash64("text").alias("mine"), "text")
-    rows = source.mapInArrow(score, f"doc {kind}, mine long, h long, shape long, times long, n_tokens long, n_known long, base double, model double")
-    rare = counts.filter(level < lowest).select(F.col("h").alias("_h"), F.col("n").cast("double").alias("_n"))
+    rows = source.mapInArrow(resolve, f"doc {kind}, mine long, h long, shape long, places array<int>, n_tokens long, n_known long, base double, emit double, chain binary")
+    rare = placed.filter(level < lowest).select(F.col("h").alias("_h"), F.col("n").cast("double").alias("_n"), F.col("class").cast("int").alias("_class"))
     joined = rows.join(rare, F.col("h") == F.col("_h"), "left")
-    word = F.col("shape") >= 0
-    c = F.coalesce("_n", F.lit(0.0))
-    pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("shape").cast("int"))
-    seen_word = F.log10((c - pick(discount)) / pick(shape_n))
-    unseen_word = pick(np.log10(np.maximum(unseen, 1e-12)))
+    word, times = F.col("shape") >= 0, F.size("places")
+    pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_class"))
+    code = F.coalesce(F.col("_class"), (CLASSES + 1 + F.col("shape")).cast("int"))
     parts_of = joined.select(
         "doc",
         "mine",
         F.when(word, 0).otherwise(1).cast("long").alias("copies"),
         "n_tokens",
-        F.when(word, F.when(F.col("_n").isNotNull(), F.col("times")).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(word, F.col("times") * F.log10(c + alpha)).otherwise(F.col("base")).alias("base"),
-        F.when(word, F.col("times") * F.when(F.col("_n").isNotNull(), seen_word).otherwise(unseen_word)).otherwise(F.col("model")).alias("model"),
+        F.when(word, F.when(F.col("_n").isNotNull(), times).otherwise(0)).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(word, times * F.log10(F.coalesce("_n", F.lit(0.0)) + alpha)).otherwise(F.col("base")).alias("base"),
+        F.when(word, times * F.coalesce(F.log10((F.col("_n") - pick(discount)) / pick(n_class)), F.lit(0.0))).otherwise(F.col("emit")).alias("emit"),
+        "chain",
+        F.when(word, F.struct(code.alias("code"), "places")).alias("fill"),
     )
-    summed = parts_of.groupBy("doc", "mine").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "model")])
-    each = summed.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    summed = parts_of.groupBy("doc", "mine").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "emit")], F.max("chain").alias("chain"), F.collect_set("fill").alias("fill"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, _, number = _codes(batch.column("chain"))
+            codes, begin = codes.astype(np.uint8), np.cumsum(number) - number
+            lists = batch.column("fill")
+            owner = np.repeat(begin, lists.value_lengths().to_numpy(zero_copy_only=False))
+            found = lists.flatten()
+            places = found.field("places")
+            times = places.value_lengths().to_numpy(zero_copy_only=False)
+            codes[np.repeat(owner, times) + places.flatten().to_numpy()] = np.repeat(found.field("code").to_numpy(zero_copy_only=False), times)
+            chain = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(np.append(begin, len(codes)).astype(np.int32)), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc", "copies", "n_tokens", "n_known", "base", "emit")], chain], names=["doc", "copies", "n_tokens", "n_known", "base", "emit", "chain"])
+
+    plain = f"doc {kind}, copies long, n_tokens long, n_known long, base double, emit double"
+    resolved = cut(summed.drop("mine").mapInArrow(fill, f"{plain}, chain binary"))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CODES * CODES)
+        for batch in batches:
+            chain, before, number = _codes(batch.column("chain"))
+            seen += np.bincount(before * CODES + chain, weights=np.repeat(batch.column("copies").to_numpy(), number), minlength=len(seen))
+        code = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"code": code, "n": seen[code].astype(np.int64)})
+
+    gathered = resolved.filter(~held_out("doc", parts)).mapInArrow(steps, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CODES * CODES)
+    table[gathered.column("code").to_numpy()] = gathered.column("n").to_numpy()
+    table = table.reshape(CODES, CODES)[: CLASSES + 1, : CLASSES + 1]
+    share = (table.sum(0) + 1) / (table.sum() + CLASSES + 1)
+    follows = (table + 5 * share) / (table.sum(1, keepdims=True) + 5)
+    likely = share[:CLASSES, None] * by_shape
+    follows = np.vstack([follows, (likely / likely.sum(0)).T @ follows[:CLASSES]])
+    sent_steps = spark.sparkContext.broadcast(np.log10(np.hstack([follows, follows[:, :CLASSES] @ by_shape])))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chain, before, number = _codes(batch.column("chain"))
+            step = np.bincount(np.repeat(np.arange(len(number)), number), weights=sent_steps.value[before, chain], minlength=len(number))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc", "copies", "n_tokens", "n_known", "base", "emit")], pa.array(step)], names=["doc", "copies", "n_tokens", "n_known", "base", "emit", "step"])
+
+    scored = resolved.mapInArrow(score, f"{plain}, step double")
+    each = scored.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     n_tokens = (F.col("n_tokens") / F.col("copies")).cast("long")
     return each.select(
         F.col("doc").alias(doc_id),
@@ -294,5 +502,5 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
         (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies") - n_tokens * F.lit(float(np.log10(total + alpha * (types + 1))))).alias("base_score"),
-        (F.col("model") / F.col("copies")).alias("score"),
+        (F.col("emit") / F.col("copies") + F.col("step")).alias("score"),
     ).select(F.col(doc_id), (F.col("_crc") % parts == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
