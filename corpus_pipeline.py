@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm import linededup, mixing, neardup, packing, rules
 from vellumark.llm.queries import TARGETS
-from vellumark.llm.shared import table
+from vellumark.llm.shared import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by runs of five words: that of the smallest id; those without words all stay."""
-    found = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    return (out.dropDuplicates(["doc_id"]) if not again.isEmpty() else out).select(*docs.columns)
+    """One row of each group of near-duplicates by runs of five words: that of the smallest id, rows without an id last; rows without words all stay.
+
+    Rows are judged by their id and text together: a null id is no reason to go, and of one id on different texts each
+    stands for itself. Of rows equal in both one stays.
+    """
+    row = F.xxhash64("doc_id", "text")
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    judged = docs.filter(worded).select(row.alias("doc_id"), "text")
+    found = neardup.near_duplicates(judged).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")).distinct()
+    ids = docs.filter(worded).select(row.alias("_row"), F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull(), "id", "_row"))
+    kept = cut(found.join(ids, "_row").groupBy("group").agg(first.alias("first")).select(F.col("first._row").alias("_kept")))
+    out = docs.filter(worded).join(kept, row == F.col("_kept"), "left_semi")
+    if out.count() > kept.count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.filter(~worded)).select(*docs.columns)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,29 @@ def test_near_dedup_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, None), (5, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, DATA).collect()) == [1, 3, 4, 5]
+
+
+def test_near_dedup_judges_rows_and_not_ids(spark):
+    base = [f"word{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    rows = [
+        (None, "one text that stands alone here"),
+        (None, " ".join(base).upper()),  # near 4 and the next
+        (None, " ".join(near)),
+        (4, " ".join(base)),
+        (None, " ".join(f"only{i}" for i in range(60))),  # near each other, and all without an id
+        (None, " ".join([*(f"only{i}" for i in range(59)), "end"])),
+        (None, None),
+        (None, " \n"),
+        (7, "first of two different texts of one id"),
+        (7, "second of two and like nothing else at all"),
+        (9, "second of two and like nothing else at all"),
+        (8, "first of two different texts of one id"),
+        (8, "a text of eight that nobody else has got"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in cp.near_dedup(spark, docs, DATA).collect()))
+    alone = [t for i, t in got if not i and t.startswith("only")]
+    assert len(alone) == 1
+    want = [(0, ""), (0, " \n"), (0, rows[0][1]), (0, alone[0]), (4, rows[3][1]), (7, rows[8][1]), (7, rows[9][1]), (8, rows[12][1])]
+    assert got == sorted(want)
