@@ -152,3 +152,9 @@ def test_bounds_and_refusals():
 def test_dispatch_takes_the_first_claim():
     assert [dispatch.reader_of(n) for n in ("A.HTML", "x.fb2.zip", "x.zip", "x.tar.gz", "none", "x.ts", "x.rar", "x.heic")] == ["html", "fb2", "zip", "tar", "text", "literal", None, "image"]
     assert {".docx", ".tar.xz", ".md"} <= set(dispatch.supported_extensions())
+
+
+@pytest.mark.parametrize("mark", [b"\0", b"\x01"])
+def test_decode_refuses_control_characters_anywhere(mark):
+    with pytest.raises(UnsupportedFormat):
+        formats.decode(b"a plain line\n" * 10_000 + mark + b"end")

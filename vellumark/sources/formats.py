@@ -55,13 +55,13 @@ def decode(content: bytes, limits: ParserLimits | None = None) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if content.startswith(mark):
             return content.decode(name, "replace")
-    if content[:4] in (b"PK\3\4", b"%PDF", b"\x89PNG", b"\xd0\xcf\x11\xe0") or content[:3] in (b"\xff\xd8\xff", b"GIF") or b"\0" in content[:4096]:
+    if content[:4] in (b"PK\3\4", b"%PDF", b"\x89PNG", b"\xd0\xcf\x11\xe0") or content[:3] in (b"\xff\xd8\xff", b"GIF") or b"\0" in content:
         raise UnsupportedFormat("binary content")
     try:
         text = content.decode("utf-8")
     except UnicodeDecodeError:
         text = _detected(content)
-    if re.search(r"[\x01-\x08\x0e-\x1a\x1c-\x1f]", text[:65536]):
+    if re.search(r"[\x01-\x08\x0e-\x1a\x1c-\x1f]", text):
         raise UnsupportedFormat("control characters")
     return text
 
