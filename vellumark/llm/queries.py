@@ -11,13 +11,13 @@ from vellumark.llm import brown, chat, linededup, mixing, neardup, packing, page
 from vellumark.llm.shared import table
 
 
-#: Token weights of the domains: toxic text goes, poor text is at most a tenth.
+#: Token weights of the domains: toxic text goes, poor text is a tenth.
 TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mixing.mix_documents(docs, mixing.domains_of_labels(table(spark, sf_dir, "labels")), TARGETS).drop("text")
+    return mixing.mix_documents(docs, mixing.domains_of_labels(table(spark, sf_dir, "labels")), TARGETS, max_rate=2.0, keep_text=False)
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
