@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,10 @@ from pyspark.sql.types import StructType
 
 from vellumark.llm import crf
 
-_HIDDEN = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "title", "select", "datalist", "textarea", "head"}
+#: No text of these is shown, or it belongs to a form.
+_HIDDEN = {"script", "style", "template", "iframe", "title", "desc", "metadata", "select", "datalist", "textarea", "head"}
+#: Elements that stay open where a block around them ends, each at most three times.
+_FORMAT = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 _BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -53,32 +58,53 @@ _TAGS = "article main section aside nav header footer form ul ol table blockquot
 _ROLES = {"navigation": "menu", "banner": "head", "contentinfo": "foot", "complementary": "side", "search": "form", "main": "main", "dialog": "notice", "alert": "notice", "form": "form", "article": "main"}
 
 
+_PLACE = {name: i for i, name in enumerate([*_TAGS, *(f"+{h}" for h in _HINTS)])}
+
+
+class Open(NamedTuple):
+    """An open element: its name, whether its text is hidden, its own marks (bits of _PLACE), and those of all elements down to it."""
+
+    tag: str
+    hidden: bool
+    own: int
+    marks: int
+
+
 class Blocks(HTMLParser):
-    """Cuts a page to leaf blocks: runs of text that no block element interrupts, with the elements around them."""
+    """Cuts a page to leaf blocks: runs of text that no block element interrupts, with the marks of the elements around.
+
+    Every open element carries the marks of those around it, so memory and time follow the page and not its depth.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, tuple[str, ...]]] = []
+        self.stack: list[Open] = []
+        self.open: Counter[str] = Counter()
         self.hidden = 0
-        self.out: list[tuple[str, tuple, int, int]] = []
+        self.out: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.linked = self.pieces = 0
 
     def flush(self) -> None:
         text = _WHITE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.out.append((text, tuple((t, h) for t, _, h in self.stack), self.linked, self.pieces))
+            self.out.append((text, self.stack[-1].marks if self.stack else 0, self.linked, self.pieces))
         self.text, self.linked, self.pieces = [], 0, 0
 
+    def push(self, tag: str, hidden: bool, own: int) -> None:
+        self.stack.append(Open(tag, hidden, own, own | (self.stack[-1].marks if self.stack else 0)))
+        self.open[tag] += 1
+        self.hidden += hidden
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self.stack and tag in _ENDS.get(self.stack[-1][0], ()):
+        while self.stack and tag in _ENDS.get(self.stack[-1].tag, ()):
             self.close(len(self.stack) - 1)
-        if tag == "li" or tag in ("tr", "td", "th", "dt", "dd", "option") or tag in _BLOCK:
+        if tag in _BLOCK and any(self.open[t] for t in _ENDS):
             for i in range(len(self.stack) - 1, -1, -1):  # an open p, li, ... may lie below inline elements
-                if tag in _ENDS.get(self.stack[i][0], ()):
+                if tag in _ENDS.get(self.stack[i].tag, ()):
                     self.close(i, keep_inline=True)
                     break
-                if self.stack[i][0] in _BLOCK:
+                if self.stack[i].tag in _BLOCK:
                     break
         if tag in _BLOCK and not self.hidden:
             self.flush()
@@ -86,18 +112,16 @@ class Blocks(HTMLParser):
             self.text.append(" ")
         if tag in _VOID:
             return
-        named: list[str] = []
-        off = False
+        own, off = 1 << _PLACE[tag] if tag in _PLACE else 0, tag in _HIDDEN
         for k, v in attrs:
             if v and k in ("class", "id", "role", "itemprop", "aria-label"):
                 if k == "role" and v in _ROLES:
-                    named.append(_ROLES[v])
-                named += [_HINT_OF[w] for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()) if w in _HINT_OF]
+                    own |= 1 << _PLACE["+" + _ROLES[v]]
+                for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()):
+                    if w in _HINT_OF:
+                        own |= 1 << _PLACE["+" + _HINT_OF[w]]
             off |= k == "hidden" or (k == "style" and bool(v) and "display:none" in v.replace(" ", "").lower()) or (k == "aria-hidden" and v == "true")
-        inner = tag if tag not in _HIDDEN and not off else "!" + tag
-        if inner[0] == "!":
-            self.hidden += 1
-        self.stack.append((inner, tag, tuple(dict.fromkeys(named))))
+        self.push(tag, off, own)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -107,57 +131,70 @@ class Blocks(HTMLParser):
     def close(self, at: int, keep_inline: bool = False) -> None:
         """End the element at this place of the stack, and those above it; formatting elements above it may stay open."""
         gone = self.stack[at:]
-        if not self.hidden and any(t[1] in _BLOCK for t in gone):
+        if not self.hidden and any(t.tag in _BLOCK for t in gone):
             self.flush()
-        stay = [t for t in gone[1:] if t[1] not in _BLOCK and t[0][0] != "!"] if keep_inline else []
-        self.hidden -= sum(t[0][0] == "!" for t in gone)
-        self.stack[at:] = stay
+        del self.stack[at:]
+        for t in gone:
+            self.open[t.tag] -= 1
+            self.hidden -= t.hidden
+        if keep_inline:
+            kept: Counter[str] = Counter()
+            stay = []
+            for t in reversed(gone[1:]):
+                if t.tag in _FORMAT and not t.hidden and kept[t.tag] < 3:
+                    kept[t.tag] += 1
+                    stay.append(t)
+            for t in reversed(stay):
+                self.push(t.tag, False, t.own)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][1] == tag:
+            if self.stack[i].tag == tag:
                 self.close(i, keep_inline=tag in _BLOCK)
                 return
-            if self.stack[i][1] in ("article", "body", "html", "main", "section", "nav", "table") and tag not in _BLOCK | {"html", "body"}:
+            if self.stack[i].tag in _SCOPES and tag not in _BLOCK | {"html", "body"}:
                 return
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.text.append(data)
             self.pieces += len(data)
-            if any(t[1] == "a" for t in self.stack[-3:]):
+            if any(t.tag == "a" for t in self.stack[-3:]):
                 self.linked += len(data)
 
 
-def blocks(html: str) -> list[tuple[str, tuple, int, int]]:
-    """(text, path of (tag, hints), linked characters, characters) of the leaf blocks of a page, in page order."""
+_SCOPES = {"article", "body", "html", "main", "section", "nav", "table"}
+
+
+def blocks(html: str) -> list[tuple[str, int, int, int]]:
+    """(text, marks of the elements around, linked characters, characters) of the leaf blocks of a page, in page order."""
     parser = Blocks()
     parser.feed(html)
-    parser.close_all = True
     HTMLParser.close(parser)
     parser.flush()
     return parser.out
 
 
-_PLACE = {name: i for i, name in enumerate([*_TAGS, *(f"+{h}" for h in _HINTS)])}
-_STOP = re.compile(r"[.!?:;,…。]")
+_STOPS = dict.fromkeys(map(ord, ".!?:;,…。"))
+_DIGITS = dict.fromkeys(map(ord, "0123456789"))
 _LEGAL = re.compile(r"©|\(c\)\s*\d{4}|copyright|all rights reserved|cookies?\b|privacy|terms of|subscribe|newsletter|sign (in|up)|log ?in|share|advert|sponsor", re.I)
 _TEXT = 14
 _OWN = len(_PLACE) + _TEXT
 WIDTH = 3 * _OWN + 3
 
 
-def describe(found: list[tuple[str, tuple, int, int]]) -> np.ndarray:
-    """Features of the blocks of a page: elements and hints on the path, the text itself, and both for the blocks around."""
+def describe(found: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """Features of the blocks of a page: elements and hints on the path, the whole text itself, and both for the blocks around."""
     own = np.zeros((len(found), _OWN))
-    for i, (text, path, linked, pieces) in enumerate(found):
-        for tag, hints in path:
-            if tag in _PLACE:
-                own[i, _PLACE[tag]] = 1
-            for h in hints:
-                own[i, _PLACE["+" + h]] = 1
+    marks = np.asarray([b[1] for b in found], dtype=np.uint64)
+    own[:, : len(_PLACE)] = (marks[:, None] >> np.arange(len(_PLACE), dtype=np.uint64)) & np.uint64(1)
+    for i, (text, _, linked, pieces) in enumerate(found):
         n, n_words = len(text), text.count(" ") + 1
-        stops = len(_STOP.findall(text[:2000]))
+        stops = n - len(text.translate(_STOPS))
+        legal = sum(1 for _ in _LEGAL.finditer(text))
+        digits = n - len(text.translate(_DIGITS))
         own[i, len(_PLACE) :] = (
             1,
             min(n_words, 60) / 20,
@@ -168,9 +205,9 @@ def describe(found: list[tuple[str, tuple, int, int]]) -> np.ndarray:
             linked > 0.5 * pieces,
             text[-1] in ".!?…\"'”»:",
             min(stops / n_words, 0.5) * 4,
-            bool(_LEGAL.search(text[:300])),
+            min(1.0, 8 * legal / n_words),
             text.isupper(),
-            min(1.0, sum(c.isdigit() for c in text[:300]) / min(n, 300) * 4),
+            min(1.0, digits / n * 4),
             i < 3,
             i >= len(found) - 2,
         )
@@ -325,7 +362,8 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text", chun
 
     The page is cut to leaf blocks; a linear-chain conditional random field labels them by the elements around, hints
     in class and id names, the form of the text and the blocks beside, and Viterbi decoding picks the main ones.
-    Scripts, styles and hidden elements give no blocks. Character references are decoded, white space in a block
+    Scripts, styles, hidden elements and the fields of forms (textarea, select) give no blocks; formulas, drawings and
+    fallbacks (math, svg, object, noscript) are text like any other. Character references are decoded, white space in a block
     becomes one space, blocks are joined by one \\n. The field is fitted on generated labelled pages, on the driver.
 
     Null pages are empty; an empty page, or one without blocks, has the empty text. Every row is extracted by itself, so
