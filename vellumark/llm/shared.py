@@ -32,15 +32,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in local mode a temporary one if it is unset, on a cluster an error then."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
+        named = getattr(spark.sparkContext, "_vellumark_folder", None) or tempfile.mkdtemp(prefix="vellumark-")
+        spark.sparkContext._vellumark_folder = named
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names (a temporary one if it is unset)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage with a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names for own columns that no column has, whatever its case."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case and nothing else. lower() has a fast path for ASCII; translate() is kept for the rest."""
     upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
