@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm import linededup, mixing, neardup, packing, rules
 from vellumark.llm.queries import TARGETS
-from vellumark.llm.shared import cut, table
+from vellumark.llm.shared import cut, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet to the shared folder of spark.checkpoint.dir and read again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumark-")
+    root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}/{k}"
+            path = f"{root}/{k}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

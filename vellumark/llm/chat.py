@@ -106,3 +106,23 @@ def parse_chats(formatted: Column) -> Column:
         return F.transform(F.split(body, r"<\|im_next\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text"), F.length(t).cast("long").alias("length")))
 
     return F.flatten(F.transform(blocks, turns))
+
+
+def loss_text(formatted: Column, mask: Column, chunk: int = CHUNK) -> Column:
+    """All text under the loss mask, unescaped and joined, cut out of `formatted` by the mask's runs alone.
+
+    Runs are taken `chunk` at a time: their part of the text is cut out first, and each run out of that, so a
+    conversation of n turns costs about n * chunk and n * n / chunk steps, not n * n.
+    """
+    size = lambda m: m["skip"] + m["take"]
+    total = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda a, m: a + size(m))
+    chunks = F.when(F.size(mask) > 0, F.transform(F.sequence(F.lit(1), F.size(mask), F.lit(chunk)), lambda i: F.slice(mask, i, F.lit(chunk))))
+    starts = lambda lengths: F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    cut = lambda text, at, n: F.substr(text, (at + 1).cast("int"), n.cast("int"))
+
+    def under(part: Column, runs: Column) -> Column:
+        texts = F.zip_with(runs, starts(F.transform(runs, size)), lambda m, at: F.when(m["loss"], cut(part, at + m["skip"], m["take"])))
+        return F.array_join(F.filter(texts, lambda t: t.isNotNull()), "")
+
+    pieces = F.zip_with(chunks, starts(F.transform(chunks, total)), lambda runs, at: F.when(runs.isNotNull(), under(cut(formatted, at, total(runs)), runs)))
+    return unescape(F.coalesce(F.array_join(F.filter(pieces, lambda t: t.isNotNull()), ""), F.lit("")))

@@ -81,8 +81,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     formatted = chat.format_chats(turns.unionByName(made))
     read = formatted.withColumn("read", chat.parse_chats(F.col("formatted")))
-    under = F.zip_with("read", "loss_mask", lambda t, m: F.when(m["loss"] & (m["take"] == t["length"]), t["text"]))
-    loss = read.withColumn("loss", F.array_join(F.filter(under, lambda t: t.isNotNull()), ""))
+    loss = read.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_mask")))
     return loss.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),
