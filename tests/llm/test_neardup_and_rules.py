@@ -168,3 +168,43 @@ def test_rules_without_trusted_rows_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j", 5)], "doc_id long, text string, n_words int")
     assert [(r.kept, r.llr, r.n_words) for r in rules.apply_rules(docs, none).collect()] == [(True, 0.0, 10)]
     assert rules.apply_rules(docs.limit(0), none).count() == 0
+
+
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 1)  # every open bucket counts as hot
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    passage, other = [word() for _ in range(100)], [word() for _ in range(40)]
+    docs = []
+    for i in range(90):  # about the threshold: a passage that all hold, another that a third hold, own words at both ends
+        own = [word() for _ in range(draw.choice([6, 10, 12, 20]))]
+        text = own[: len(own) // 2] + passage[: draw.choice([100, 100, 90])] + (other[: draw.choice([20, 40])] if i % 3 == 0 else []) + own[len(own) // 2 :]
+        docs.append((i * 7 % 90, " ".join(text)))
+    docs += corpus()
+    for percent in (80, 70):
+        got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4, percent=percent).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs, 4, percent)
+
+
+def passages(n):
+    """n texts with one long passage and nothing else in common, each pair just below the threshold."""
+    draw = random.Random(n)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(150)]
+    return [(i, " ".join(passage + [word() for _ in range(20)])) for i in range(n)]
+
+
+def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
+    made = []
+    whole = neardup._hot_pairs
+
+    def counted(*given):
+        out = whole(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_hot_pairs", counted)
+    for n in (200, 400):
+        rows = neardup.near_duplicates(spark.createDataFrame(passages(n), "doc_id long, text string")).collect()
+        assert len(rows) == n and all(r.kept for r in rows)
+    assert len(made) == 2 and all(m <= n for m, n in zip(made, (200, 400), strict=True))

@@ -6,6 +6,7 @@ from a few numpy passes over that buffer, in slices of bounded size, so memory f
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Iterator
 
@@ -51,6 +52,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames that cut() made and nothing will read again."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        file = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes the shuffle files of each query as it ends: what goes on is checkpointed."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names for own columns that no column has, whatever its case."""
     taken, mark = {c.lower() for c in columns}, "_"
