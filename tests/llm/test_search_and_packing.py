@@ -102,3 +102,18 @@ def test_differencing_is_near_equal_and_raises_the_count():
     assert packing.windows([2000, 2000, 90]) == [[0], [1], [2]] or len(packing.windows([2000, 2000, 90])) == 3
     assert packing.windows([1500, 1500]) == [[0], [1]]
     assert [len(packing.differencing([], 3)), len(packing.differencing([5], 3))] == [3, 3]
+
+
+def test_cutoffs_leave_out_most_pairs_and_no_result(monkeypatch):
+    draw = np.random.default_rng(5)
+    middles = draw.normal(size=(8, 32))
+    rows = np.floor(256 * (middles[draw.integers(0, 8, 4000)] + 0.2 * draw.normal(size=(4000, 32))))
+    q = rows[::80]
+    low = np.sort(q @ rows.T, axis=1)[:, -6]
+    resolved = []
+    exact = topk._pairs
+    monkeypatch.setattr(topk, "_pairs", lambda q, rows, x, y: resolved.append(len(x)) or exact(q, rows, x, y))
+    x, y, score = topk.sufficient(q, rows, low, topk.axes(q), [0, 16, 32])
+    want = np.nonzero(q @ rows.T >= low[:, None])
+    assert (x.tolist(), y.tolist()) == (want[0].tolist(), want[1].tolist()) and (score == (q @ rows.T)[want]).all()
+    assert resolved[0] < 0.1 * len(q) * len(rows)

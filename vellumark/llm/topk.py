@@ -57,16 +57,57 @@ def _best(query: np.ndarray, key: np.ndarray, ids: np.ndarray, k: int) -> np.nda
     return order[rank < k]
 
 
+def axes(queries: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the components, in falling order of how much of the queries lies along it."""
+    _, basis = np.linalg.eigh(queries.T @ queries) if queries.size else (None, np.zeros((queries.shape[1],) * 2))
+    return np.ascontiguousarray(basis[:, ::-1])
+
+
+def _pairs(q: np.ndarray, rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The exact inner products of the pairs (q[x], rows[y])."""
+    if not len(x) or not q.size or not rows.size:
+        return np.zeros(len(x))
+    if q.shape[1] * float(np.abs(q).max()) * float(np.abs(rows).max()) >= 2.0**53:
+        return np.asarray([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(q[i], rows[j], strict=True)))) for i, j in zip(x, y, strict=True)], dtype=object)
+    return np.concatenate([np.einsum("ij,ij->i", q[x[i : i + 65_536]], rows[y[i : i + 65_536]]) for i in range(0, len(x), 65_536)])
+
+
+def sufficient(q: np.ndarray, rows: np.ndarray, low: np.ndarray, basis: np.ndarray, edges: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of all pairs whose score is at least the query's cutoff, by lists along the basis.
+
+    A list is scored for all rows, and a pair goes on only while its score so far and the lengths of what is left of
+    both vectors (no product can be larger) may reach the cutoff; bounds are widened by more than they can be off. The
+    scores of the pairs that are left are resolved exactly, pair by pair or, where these are many, all at once.
+    """
+    turned, other = q @ basis, rows @ basis
+    off = 1e-9 * np.sqrt((turned**2).sum(1))[:, None] * np.sqrt((other**2).sum(1))[None, :]
+    going, score = np.ones((len(q), len(rows)), bool), -low[:, None].astype(np.float64)
+    for a, b in zip(edges[:-1], edges[1:-1], strict=False):  # the last list is left to the resolution
+        score = score + turned[:, a:b] @ other[:, a:b].T
+        left = np.sqrt((turned[:, b:] ** 2).sum(1))[:, None] * np.sqrt((other[:, b:] ** 2).sum(1))[None, :]
+        going &= score + left + off + 1e-12 * np.abs(low[:, None]) >= 0
+        if going.mean() <= 0.05:
+            break
+    if going.mean() > 0.25:
+        whole = _product(q, rows)
+        x, y = np.nonzero(whole >= low[:, None])
+        return x, y, whole[x, y]
+    x, y = np.nonzero(going)
+    whole = _pairs(q, rows, x, y)
+    reached = (whole >= low[x]).astype(bool)
+    return x[reached], y[reached], whole[reached]
+
+
 def _scan(rows: DataFrame, shared, k: int, cutoffs, lists: int) -> DataFrame:
     """One pass over the vectors for one round of queries; each task gives at most k entries for each query (and list).
 
     Without cutoffs it gives the local score lists: the k highest partial scores of each query in each list, with the
-    whole score of every entry. With cutoffs it gives the entries that some list holds at the query's cutoff or
-    above, their remaining lists resolved, of which the k best of the task are enough.
+    whole score of these entries and of no others. With cutoffs it gives the entries that reach the query's cutoff,
+    of which the k best of the task are enough; see sufficient().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        queries, basis = shared.value
         width = queries.shape[1]
         edges = [width * i // lists for i in range(lists + 1)]
         low = cutoffs.value if cutoffs is not None else None
@@ -77,20 +118,18 @@ def _scan(rows: DataFrame, shared, k: int, cutoffs, lists: int) -> DataFrame:
                 ids, matrix = part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), width)
                 for first in range(0, len(queries), _QUERIES):
                     q = queries[first : first + _QUERIES]
-                    parts = [_product(q[:, a:b], matrix[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-                    score = functools.reduce(np.add, parts)
+                    found = []
                     if low is None:
-                        picked = []
-                        for s in parts:
-                            edge = np.partition(s.astype(float) if s.dtype == object else s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
-                            picked.append(s >= edge)
+                        turned, other = q @ basis, matrix @ basis
+                        for a, b in zip(edges, edges[1:], strict=False):
+                            s = turned[:, a:b] @ other[:, a:b].T
+                            edge = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+                            x, y = np.nonzero(s >= edge)
+                            found.append((x, ids[y], s[x, y], _pairs(q, matrix, x, y)))
                     else:
-                        t = low[first : first + _QUERIES, None]
-                        seen = functools.reduce(np.logical_or, [lists * s >= t for s in parts])
-                        picked = [seen & (score >= t)]
-                    for i, chosen in enumerate(picked):
-                        x, y = np.nonzero(chosen)
-                        entries = (x, ids[y], parts[i][x, y] if low is None else score[x, y], score[x, y])
+                        x, y, score = sufficient(q, matrix, low[first : first + _QUERIES], basis, edges)
+                        found.append((x, ids[y], score, score))
+                    for i, entries in enumerate(found):
                         if (first, i) in held:
                             entries = tuple(map(np.concatenate, zip(held[first, i], entries, strict=True)))
                         keep = _best(entries[0], entries[2], entries[1], k)
@@ -107,12 +146,12 @@ def _scan(rows: DataFrame, shared, k: int, cutoffs, lists: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, lists: int = LISTS, vec_id: str = "vec_id", embedding: str = "embedding", round_size: int = ROUND) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with all rows but its own.
 
-    Components become floor(scale * x); ties go to the smaller vec_id. The components are dealt to `lists` lists, a
-    partial score in each. Phase 1 gathers, over all tasks, the k + 1 highest entries of every list for each query;
+    Components become floor(scale * x); ties go to the smaller vec_id. Vectors are turned to the axes along which most of
+    the round's queries lies, and these are dealt to `lists` lists, a partial score in each. Phase 1 gathers, over all tasks, the k + 1 highest entries of every list for each query;
     the (k + 1)-th best whole score among them is a lower bound of the true one, for partial scores of any sign.
-    Phase 2 broadcasts it: a row that no list holds at a `lists`-th of the bound cannot reach it. Every row that some
-    list holds there is collected, phase 3 resolves its other lists, and the best are final. k + 1, as a query's own
-    row is left out at the end.
+    Phase 2 broadcasts it: a row whose first lists and the lengths of what is left stay below it cannot reach it. Phase 3
+    resolves the scores of the rest exactly on the integers, and the best are final. k + 1, as a query's own row is left
+    out at the end.
 
     Equal vectors are one class: only its k + 1 smallest ids can ever be in a result, and queries with equal vectors
     are searched once. Queries go in rounds of about `round_size` distinct vectors, so broadcasts are bounded, and no
@@ -135,7 +174,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         distinct = mine.groupBy("v").agg(F.min("id").alias("lead")).toArrow()
         if not distinct.num_rows:
             continue
-        shared = spark.sparkContext.broadcast(_matrix(distinct.column("v").combine_chunks()))
+        matrix = _matrix(distinct.column("v").combine_chunks())
+        shared = spark.sparkContext.broadcast((matrix, axes(matrix)))
         lead = distinct.column("lead").to_numpy()
         listed = _scan(rows, shared, k + 1, None, lists)
         listed = listed.withColumn("_n", F.row_number().over(Window.partitionBy("q", "list").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") <= k + 1)
