@@ -245,3 +245,91 @@ def test_rates_match_a_direct_solution(spark):
     history, natural, goal = mixing.fit_rates(table, np.array([0.5, 0.3, 0.2]), most=50.0)
     assert np.allclose(natural, n @ p)
     assert np.allclose((n * mixing.rates(p, history, 50.0)) @ p, goal, rtol=1e-3)
+
+
+def test_taking_a_word_out_first_is_the_exchange_of_one_word():
+    draw = np.random.default_rng(9)
+    n_words, size, k = 30, 8, 5  # words 0..29 in five classes, codes 5..7 are other units
+    own = draw.integers(0, k, n_words)
+    left, right = draw.poisson(1.2, (n_words, size)).astype(float), draw.poisson(1.2, (n_words, size)).astype(float)
+    right[:, -1] += np.maximum(0, left.sum(1) - right.sum(1))  # as often after a word as before one
+    left[:, -1] += np.maximum(0, right.sum(1) - left.sum(1))
+    table = draw.poisson(3.0, (size, size)).astype(float)
+    for w in range(n_words):
+        table[:, own[w]] += left[w]
+        table[own[w]] += right[w]
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    want = []
+    for w in range(n_words):
+        marks = []
+        for c in range(k):
+            t, rows, columns = table.copy(), table.sum(1), table.sum(0)
+            for to, sign in ((own[w], -1), (c, 1)):
+                t[:, to] += sign * left[w]
+                t[to] += sign * right[w]
+                rows[to] += sign * left[w].sum()
+                columns[to] += sign * left[w].sum()
+            marks.append(f(t) - f(rows[:k]) - f(columns[:k]))
+        want.append(int(np.argmax(np.round(marks, 6))))
+    entries = [(w, c + side * size, x[w, c]) for w in range(n_words) for side, x in ((0, left), (1, right)) for c in range(size) if x[w, c]]
+    word, code, n = (np.array(x) for x in zip(*entries, strict=True))
+    assert brown.best_classes(word, code, n, table, k, own).tolist() == want
+
+
+def test_score_matches_brute_force(spark, monkeypatch):
+    draw = random.Random(21)
+    names = [f"{a}{i:03d}{'.' if i % 9 == 0 else ''}" for a in ("x", "yy", "longer-word-") for i in range(700)]
+    docs = [(i, " ".join(draw.choice(names[: 100 + 2000 * (k % 2)]) for k in range(draw.randrange(0, 60)))) for i in range(250)] + [(7, "x001 unseen"), (1000, None), (1001, "new 1234 !? x001.")]
+    monkeypatch.setattr(brown, "SWEEPS", 1)
+    monkeypatch.setattr(brown, "BROADCAST_WORDS", 1200)
+    kept = []
+    learn = brown.learn
+    monkeypatch.setattr(brown, "learn", lambda train: kept.append(learn(train)) or kept[-1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in brown.score_texts(df).collect())
+    (learnt,) = kept
+    h, shape, n, of = (np.asarray(x) for x in learnt.core)
+    words = {int(a): (int(s), int(c), int(k)) for a, s, c, k in zip(h.view(np.int64), shape, n, of, strict=True)}
+    words |= {r.h: (r["shape"], r.n, r["class"]) for r in learnt.placed.collect()}
+    k, shapes = brown.CLASSES, brown.SHAPES
+
+    def read(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        a, s, _ = brown.tokens(data, np.array([0, len(data)]))
+        return [(int(x), int(y)) for x, y in zip(a.view(np.int64), s, strict=True)]
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    train = [read(t) for d, t in docs if not held(d)]
+    assert Counter(a for t in train for a, _ in t) == {a: w[1] for a, w in words.items()}
+    steps = np.zeros((k + 1, k + 1))
+    for t in train:
+        chain = [k, *(words[a][2] for a, _ in t), k]
+        for x, y in itertools.pairwise(chain):
+            steps[x, y] += 1
+    share = (steps.sum(0) + 1) / (steps.sum() + k + 1)
+    follows = (steps + 5 * share) / (steps.sum(1, keepdims=True) + 5)
+    tokens_of, types_of, twos, ones = np.zeros(k), np.zeros(k), np.zeros(k), np.zeros((k, shapes))
+    for s, c, o in words.values():
+        tokens_of[o] += c
+        types_of[o] += 1
+        twos[o] += c == 2
+        ones[o, s] += c == 1
+    off = np.clip(ones.sum(1) / np.maximum(1, ones.sum(1) + 2 * twos), 0.05, 0.95)
+    free = np.where(tokens_of > 0, off * types_of / np.maximum(1, tokens_of), 1.0)
+    dealt = (ones.sum(0) + 1) / (ones.sum() + shapes)
+    new = free[:, None] * (ones + dealt) / (ones.sum(1, keepdims=True) + 1)
+    likely = share[:k, None] * new
+    after_new = (likely / likely.sum(0)).T @ follows[:k]
+    want = []
+    for d, t in docs:
+        total, line = 0.0, follows[k]
+        for a, s in read(t):
+            if a in words:
+                _, c, o = words[a]
+                total += math.log10(line[o]) + math.log10((c - off[o]) / max(1, tokens_of[o]))
+                line = follows[o]
+            else:
+                total += math.log10(line[:k] @ new[:, s])
+                line = after_new[s]
+        want.append((str(d), round(total + math.log10(line[k]), 6)))
+    assert [g[0] for g in got] == [w[0] for w in sorted(want)] and all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.shared import cut, hash_spans, mix, slices, words
 
-#: Words that are exchanged first (the most frequent; every other word is placed by its neighbours after them), and the classes of all words.
+#: Words that are exchanged one by one on the driver (the most frequent), the classes of all words, and sweeps over these words.
 CLUSTERED, CLASSES, SWEEPS = 1024, 64, 5
-#: At most so many word counts are broadcast (the highest); the tokens of all other words get theirs in a join.
+#: At most so many words (those of the highest counts) are exchanged in sweeps over the texts; rarer ones are placed once.
+EXCHANGED_WORDS = 1 << 18
+#: At most so many word counts are broadcast for scoring (the highest); the tokens of all other words get theirs in a join.
 BROADCAST_WORDS = 1 << 18
+#: Sweeps over the texts after the first placing; in the last the rare words are placed, too.
+TEXT_SWEEPS = 1
 SHAPES = 16
 UNITS = CLUSTERED + SHAPES + 1  # the last is the end of a text
 #: Neighbours that a word is placed by: the classes, the shapes of words not placed yet, and the end. Codes of a text's tokens: the classes, the end, and words unseen in training by shape.
@@ -81,21 +86,53 @@ def _units(h: np.ndarray, shape: np.ndarray, top: tuple[np.ndarray, np.ndarray])
     return np.where(top[0][at] == h, top[1][at], CLUSTERED + shape)
 
 
-def _chain(units: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chain(units: np.ndarray, counts: np.ndarray, end: int = UNITS - 1) -> tuple[np.ndarray, np.ndarray]:
     """Units of all texts with an end after each, and the unit before each of them (an end before the first word)."""
     number = counts + 1
     ends = np.cumsum(number) - 1
-    chain = np.full(int(number.sum()), UNITS - 1, dtype=np.int64)
+    chain = np.full(int(number.sum()), end, dtype=np.int64)
     inside = np.ones(len(chain), dtype=bool)
     inside[ends] = False
     chain[inside] = units
     before = np.empty_like(chain)
     before[1:] = chain[:-1]
     if len(before):
-        before[0] = UNITS - 1
+        before[0] = end
     return chain, before
 
 
+def _classed(h: np.ndarray, shape: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words, by sorted hashes and their classes: the class, or CLASSES + shape where it has none (yet); and which words are among the hashes."""
+    if not len(known[0]):
+        return CLASSES + shape, np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+    have = known[0][at] == h
+    return np.where(have & (known[1][at] < CLASSES), known[1][at], CLASSES + shape), have
+
+
+def _bigrams(rows: DataFrame, width: int, code: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Counts of neighbouring codes over all texts; the last code is the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                h, shape, number = tokens(data, offsets)
+                chain, before = _chain(code(h, shape), number, width - 1)
+                seen += np.bincount(before * width + chain, minlength=len(seen)) if len(chain) * 8 > len(seen) else 0
+                if len(chain) * 8 <= len(seen):
+                    at, n = np.unique(before * width + chain, return_counts=True)
+                    seen[at] += n
+        at = np.flatnonzero(seen)
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_pydict({"code": at[k : k + 100_000], "n": seen[at[k : k + 100_000]]})
+
+    gathered = rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(width * width)
+    out[gathered.column("code").to_numpy()] = gathered.column("n").to_numpy()
+    return out.reshape(width, width)
+
+
 def exchange(bigrams: np.ndarray, movable: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of the units. Units 0..movable-1 are exchanged between `classes` classes, every other has one of its own.
 
@@ -149,8 +186,11 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int = CLASSES, sweeps:
     return of
 
 
-def _neighbours(rows: DataFrame, top: Broadcast, of: np.ndarray) -> DataFrame:
-    """(h, shape, seen) of the words of `rows` that are not in `top`: n * 512 + code, each code once, for n neighbours of that code (left, or NEIGHBOURS and more: right)."""
+def _neighbours(rows: DataFrame, known: Broadcast, core: np.ndarray, rare: bool) -> DataFrame:
+    """(h, shape, seen) of the words of `rows` that are not in `core` (sorted hashes), and unless `rare` only of those in `known`.
+
+    seen: n * 512 + code, each code once, for n neighbours of that code (left, or NEIGHBOURS and more: right).
+    """
     width = 2 * NEIGHBOURS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +216,14 @@ def _neighbours(rows: DataFrame, top: Broadcast, of: np.ndarray) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 h, shape, number = tokens(data, offsets)
-                units = _units(h, shape, top.value)
-                chain, before = _chain(units, number)
-                after = np.append(chain[1:], UNITS - 1)
+                codes, have = _classed(h, shape, known.value)
+                chain, before = _chain(codes, number, NEIGHBOURS - 1)
+                after = np.append(chain[1:], NEIGHBOURS - 1)
                 inside = np.ones(len(chain), dtype=bool)
                 inside[np.cumsum(number + 1) - 1] = False
-                mine = np.flatnonzero(units >= CLUSTERED)
-                h, shape, left, right = h[mine], shape[mine], of[before[inside][mine]], of[after[inside][mine]]
+                wanted = ~_among(h, core) & (have | rare)
+                mine = np.flatnonzero(wanted)
+                h, shape, left, right = h[mine], shape[mine], before[inside][mine], after[inside][mine]
                 one = np.ones(len(mine), np.int64)
                 held.append(merged([(h, shape, left, one), (h, shape, right + NEIGHBOURS, one)]))
                 size += len(held[-1][0])
@@ -198,11 +239,17 @@ def _neighbours(rows: DataFrame, top: Broadcast, of: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "h long, shape long, seen array<long>")
 
 
-def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def _among(h: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of h are among the sorted hashes."""
+    return hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h if len(hashes) else np.zeros(len(h), bool)
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.ndarray, classes: int = CLASSES, own: np.ndarray | None = None) -> np.ndarray:
     """The class of each word that raises the likelihood of the class bigrams `table` most; ties go to the lower class.
 
     Entries are ordered by word, and words numbered from 0 without gaps. An entry says that the word stands n times
-    after the unit `code` (code < len(table)) or before the unit code - len(table).
+    after the unit `code` (code < len(table)) or before the unit code - len(table). Where own is a class (not -1) the
+    word counts in that class in `table`; it is taken out first, as the exchange algorithm does.
     """
 
     def f(x: np.ndarray) -> np.ndarray:
@@ -213,6 +260,7 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.nd
     lines = np.vstack([table[:, :classes], table[:classes].T])
     now = f(lines)
     number = int(word[-1]) + 1 if len(word) else 0
+    own = np.full(number, -1) if own is None else own
     gain = np.zeros((number, classes))
     for k in range(0, len(word), 50_000):
         w, c, m = word[k : k + 50_000], code[k : k + 50_000], n[k : k + 50_000, None]
@@ -221,16 +269,32 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, table: np.nd
     # Neighbours of the class itself on both sides meet in one cell.
     diagonal, sides = np.diagonal(table)[:classes], []
     for begin in (0, size):
-        own = (code >= begin) & (code < begin + classes)
-        sides.append(np.bincount(word[own] * classes + code[own] - begin, weights=n[own], minlength=number * classes).reshape(number, classes))
+        inner = (code >= begin) & (code < begin + classes)
+        sides.append(np.bincount(word[inner] * classes + code[inner] - begin, weights=n[inner], minlength=number * classes).reshape(number, classes))
     gain += f(diagonal + sides[0] + sides[1]) - f(diagonal + sides[0]) - f(diagonal + sides[1]) + f(diagonal)
     times = np.bincount(word, weights=n * (code < size), minlength=number)[:, None]
     rows, columns = table[:classes].sum(1), table[:, :classes].sum(0)
     gain -= f(rows + times) - f(rows) + f(columns + times) - f(columns)
+    # In its own class a word gains what taking it out would lose.
+    at = np.flatnonzero(own >= 0)
+    if len(at):
+        inside = own[word] >= 0
+        w, m = word[inside], n[inside]
+        cell = lines[code[inside], own[w]]
+        loss = np.bincount(w, weights=f(cell) - f(np.maximum(cell - m, 0)), minlength=number)[at]
+        k = own[at]
+        # Its own bigrams also stand in the cells between its class and another, where neighbours of its class come in.
+        for line, gone, m in ((table[k, :classes], sides[1][at], sides[0][at, k]), (table[:classes, k].T, sides[0][at], sides[1][at, k])):
+            m, rest = m[:, None], np.maximum(line - gone, 0)
+            gain[at] += f(rest + m) - f(rest) - f(line + m) + f(line)
+        a, b, d, t = sides[0][at, k], sides[1][at, k], diagonal[k], times[at, 0]
+        less = lambda x: f(np.maximum(x, 0))
+        loss += less(d - a) + less(d - b) - f(d) - less(d - a - b)
+        gain[at, k] = loss - (f(rows[k]) - less(rows[k] - t)) - (f(columns[k]) - less(columns[k] - t))
     return np.argmax(np.round(gain, 6), axis=1)
 
 
-def _place(found: DataFrame, table: np.ndarray) -> DataFrame:
+def _place(found: DataFrame, table: np.ndarray, known: Broadcast) -> DataFrame:
     """(h, shape, n, class) of every word of `found`, which has the neighbours of a word in one row or several."""
     spark = found.sparkSession
     sent = spark.sparkContext.broadcast(table)
@@ -242,7 +306,8 @@ def _place(found: DataFrame, table: np.ndarray) -> DataFrame:
             key, back = np.unique(word[owner] * (2 * NEIGHBOURS) + (seen & 511), return_inverse=True)
             n = np.bincount(back, weights=seen >> 9, minlength=len(key))
             word, code = key // (2 * NEIGHBOURS), key % (2 * NEIGHBOURS)
-            of = best_classes(word, code, n, sent.value)
+            now, _ = _classed(h[new].view(np.uint64), shape[new], known.value)
+            of = best_classes(word, code, n, sent.value, own=np.where(now < CLASSES, now, -1))
             times = np.bincount(word, weights=n * (code < NEIGHBOURS), minlength=len(of)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(shape[new]), pa.array(times), pa.array(of.astype(np.int64))], names=["h", "shape", "n", "class"])
 
@@ -287,16 +352,78 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chain, np.concatenate(([END], chain[:-1])), np.diff(offsets)
 
 
+@dataclass(frozen=True)
+class Learnt:
+    """placed: h, shape, n, class of all words but the core; core: hashes, shapes, counts and classes of these; frequent: which of `placed` are sent out for scoring; tokens, types and texts of the training part."""
+
+    placed: DataFrame
+    core: tuple[np.ndarray, ...]
+    frequent: Column
+    total: int
+    types: int
+    n_docs: int
+
+
+def _highest(by_level: list[tuple[int, int, int]], most: int) -> Column:
+    """Which words (h, n) are among those of the highest counts, `most` at most: all of the higher levels, and of the level that would be too much a part by the hashes."""
+    number, lowest, share = 0, -1, 0
+    for at, words_of, _ in reversed(by_level):
+        if number + words_of > most:
+            lowest, share = at, int((most - number) / words_of * 0.98 * 65_536)
+            break
+        number += words_of
+    level = F.floor(4 * F.log2("n")).cast("int")
+    return (level > lowest) | ((level == lowest) & (F.pmod(F.xxhash64("h"), F.lit(65_536)) < share))
+
+
+def learn(train: DataFrame) -> Learnt:
+    """Counts and classes of all words of the column `text` of `train`."""
+    context = train.sparkSession.sparkContext
+    counts = cut(_count(train))
+    n_docs = train.count()
+    level = F.floor(4 * F.log2("n")).cast("int")
+    by_level = sorted((r["level"], r["words"], r["tokens"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect())
+    total = sum(r[2] for r in by_level) + n_docs
+    types = sum(r[1] for r in by_level) + (n_docs > 0)
+    core = counts.orderBy(F.desc("n"), "h").limit(CLUSTERED).toArrow()
+    core_h, core_shape, core_n = core.column("h").to_numpy().view(np.uint64), core.column("shape").to_numpy(), core.column("n").to_numpy()
+    top = (np.sort(core_h), np.argsort(core_h, kind="stable").astype(np.int64))
+    sent_top = context.broadcast(top)
+    bigrams = _bigrams(train, UNITS, lambda h, shape: _units(h, shape, sent_top.value))
+    of = exchange(bigrams, CLUSTERED)
+    member = np.zeros((UNITS, NEIGHBOURS))
+    member[np.arange(UNITS), of] = 1
+    core_of = of[: len(core_h)]
+
+    # Sweeps over the texts: every one of these words is exchanged, all of one sweep by the class bigrams before it.
+    hashes = np.union1d(counts.filter(_highest(by_level, EXCHANGED_WORDS)).select("h").toArrow().column("h").to_numpy().view(np.uint64), core_h)
+    classes = np.full(len(hashes), CLASSES, np.uint8)
+    classes[np.searchsorted(hashes, core_h)] = core_of
+    table = member.T @ bigrams @ member
+    for sweep in range(TEXT_SWEEPS + 1):
+        known = context.broadcast((hashes, classes))
+        if sweep:
+            table = _bigrams(train, NEIGHBOURS, lambda h, shape, known=known: _classed(h, shape, known.value)[0])
+        placed = _place(_neighbours(train, known, top[0], sweep == TEXT_SWEEPS), table, known)
+        if sweep < TEXT_SWEEPS:
+            got = placed.select("h", "class").toArrow()
+            classes = classes.copy()
+            classes[np.searchsorted(hashes, got.column("h").to_numpy().view(np.uint64))] = got.column("class").to_numpy()
+    return Learnt(cut(placed), (core_h, core_shape, core_n, core_of), _highest(by_level, BROADCAST_WORDS), total, types, n_docs)
+
+
 def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens (long), base_score and score (double) for every row of `docs`.
 
     Tokens are words with A-Z in lower case and one end for each text. The model learns from the texts that held_out()
     leaves, and every word of them gets one of CLASSES learnt classes; the end has its own.
 
-    1. Exchange clustering of the CLUSTERED most frequent words by their bigram counts over the whole training part.
-       The other words count as neighbours by their shape here.
-    2. Every other word, however rare, goes to the class where the likelihood of these class bigrams is raised most by
-       the sums of all its left and right neighbours in the training part.
+    1. Exchange clustering of the CLUSTERED most frequent words by their bigram counts over the whole training part, one
+       by one. The other words count as neighbours by their shape here.
+    2. Exchange of all words, up to EXCHANGED_WORDS, in sweeps over the training part: each goes to the
+       class where the likelihood of the class bigrams is raised most by the sums of its left and right neighbours, taken
+       out of its own class first. All of a sweep go by the bigrams before it. In the last sweep every rarer word is
+       placed in the same way, once.
     3. Class bigrams are counted again over all training tokens, by the classes of step 2.
 
     score is the sum over tokens of log10 P(class | class before) + log10 P(word | class). Transitions are smoothed by
@@ -315,44 +442,8 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), held_out(doc_id, parts).alias("held"))
-    train = base.filter(~F.col("held")).select("text")
-    counts = cut(_count(train))
-    n_docs = train.count()
-    level = F.floor(4 * F.log2("n")).cast("int")
-    by_level = sorted((r["level"], r["words"], r["tokens"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect())
-    total = sum(r[2] for r in by_level) + n_docs
-    types = sum(r[1] for r in by_level) + (n_docs > 0)
-    sent, lowest = 0, 10_000
-    for at, number, _ in reversed(by_level):
-        sent += number
-        if sent > BROADCAST_WORDS:
-            break
-        lowest = at
-    core = counts.orderBy(F.desc("n"), "h").limit(CLUSTERED).toArrow()
-    core_h, core_shape, core_n = core.column("h").to_numpy().view(np.uint64), core.column("shape").to_numpy(), core.column("n").to_numpy()
-    top = (np.sort(core_h), np.argsort(core_h, kind="stable").astype(np.int64))
-    sent_top = spark.sparkContext.broadcast(top)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(UNITS * UNITS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                h, shape, number = tokens(data, offsets)
-                chain, before = _chain(_units(h, shape, sent_top.value), number)
-                code, n = np.unique(before * UNITS + chain, return_counts=True)
-                seen[code] += n
-        code = np.flatnonzero(seen)
-        for k in range(0, len(code), 100_000):
-            yield pa.RecordBatch.from_pydict({"code": code[k : k + 100_000], "n": seen[code[k : k + 100_000]]})
-
-    gathered = train.mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(UNITS * UNITS)
-    bigrams[gathered.column("code").to_numpy()] = gathered.column("n").to_numpy()
-    bigrams = bigrams.reshape(UNITS, UNITS)
-    of = exchange(bigrams, CLUSTERED)
-    member = np.zeros((UNITS, NEIGHBOURS))
-    member[np.arange(UNITS), of] = 1
-    placed = cut(_place(_neighbours(train, sent_top, of), member.T @ bigrams @ member))
+    learnt = learn(base.filter(~F.col("held")).select("text"))
+    placed, (core_h, core_shape, core_n, core_of), total, types, n_docs = learnt.placed, learnt.core, learnt.total, learnt.types, learnt.n_docs
 
     # Emissions: absolute discounting in every class.
     n_class, n_types, ones, twos = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros((CLASSES, SHAPES)), np.zeros(CLASSES)
@@ -361,7 +452,6 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
         n_types[row["class"]] += row["v"]
         ones[row["class"], row["shape"]] += row["n1"]
         twos[row["class"]] += row["n2"]
-    core_of = of[: len(core_h)]
     np.add.at(n_class, core_of, core_n)
     np.add.at(n_types, core_of, 1)
     np.add.at(ones, (core_of, core_shape), core_n == 1)
@@ -372,7 +462,7 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
     by_shape = unseen[:, None] * (ones + shared) / (ones.sum(1, keepdims=True) + 1)
     n_class = np.maximum(1, n_class)
 
-    frequent = placed.filter(level >= lowest).toArrow()
+    frequent = placed.filter(learnt.frequent).toArrow()
     known = np.concatenate((core_h, frequent.column("h").to_numpy().view(np.uint64)))
     order = np.argsort(known, kind="stable")
     known_n = np.concatenate((core_n, frequent.column("n").to_numpy()))[order].astype(np.float64)
@@ -434,7 +524,7 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
     kind = docs.schema[doc_id].dataType.simpleString()
     source = base.select("doc", F.xxhash64("text").alias("mine"), "text")
     rows = source.mapInArrow(resolve, f"doc {kind}, mine long, h long, shape long, places array<int>, n_tokens long, n_known long, base double, emit double, chain binary")
-    rare = placed.filter(level < lowest).select(F.col("h").alias("_h"), F.col("n").cast("double").alias("_n"), F.col("class").cast("int").alias("_class"))
+    rare = placed.filter(~learnt.frequent).select(F.col("h").alias("_h"), F.col("n").cast("double").alias("_n"), F.col("class").cast("int").alias("_class"))
     joined = rows.join(rare, F.col("h") == F.col("_h"), "left")
     word, times = F.col("shape") >= 0, F.size("places")
     pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("_class"))
