@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellumark.functions import text as T
 from vellumark.operators import media, metrics, passes, split, tables
 from vellumark.options import SliceOptions
-from vellumark.plans import sql
+from vellumark.plans import reading, sql
 from vellumark.sources import dispatch, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,3 +435,8 @@ def fill_merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("sheet"), F.col("n_nationkey").cast("int").alias("r"), F.lit(0).alias("c"), F.concat(F.lit("=A"), F.col("n_nationkey").cast("string")).alias("value"), "n_name")
     return tables.cached_values(cells.drop("n_name"), cells.filter("r % 2 = 0").select("sheet", "r", "c", F.col("n_name").alias("value")))
+
+
+for _module in (reading,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
