@@ -17,14 +17,10 @@ def heading_lines(text: Column) -> Column:
 
 
 def strip_markers(text: Column) -> Column:
-    """Heading marks off lines outside fences: a running flag over the lines."""
-    start = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, line: Column) -> Column:
-        fenced = state["fenced"] != F.ltrim(line).rlike("^(```|~~~)")
-        return F.struct(fenced.alias("fenced"), F.concat(state["out"], F.array(F.when(fenced, line).otherwise(F.regexp_replace(line, r"^#+[ \t]*", "")))).alias("out"))
-
-    return F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(s["out"], "\n"))
+    """Heading marks off lines outside fences: the text is cut before every fence line, and every other part is outside."""
+    parts = F.split(F.concat(F.lit("x\n"), text), r"(?=\n *(?:```|~~~))")
+    kept = F.transform(parts, lambda p, i: F.when(i % 2 == 1, p).otherwise(F.regexp_replace(p, r"(?dm)^#+[ \t]*", "")))
+    return F.substring(F.array_join(kept, ""), 3, 2**31 - 1)
 
 
 def collapse(text: Column) -> Column:
@@ -128,3 +124,13 @@ def safe_member(name: Column) -> Column:
 
 def title_tree_line(depth: Column, title: Column) -> Column:
     return F.concat(F.repeat(F.lit("│  "), depth), F.lit("├───"), title)
+
+
+def anchored_position(text: Column, key: Column) -> Column:
+    """Where a heading stands at the start of the text or after white space, from 1; 0 if nowhere."""
+    return F.regexp_instr(text, F.concat(F.lit(r"(?<![^ \t\r\n\x{3000}])\Q"), key, F.lit(r"\E")))
+
+
+def erase_line_ends(text: Column) -> Column:
+    """Lines put together, but for those that end with a full stop `。`."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<!。)\n+", ""), r"^\n+", "")

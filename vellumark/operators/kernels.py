@@ -221,3 +221,16 @@ def pack_rows(header: str, rows: Iterable[str], limit: int, resplit: bool) -> li
                 out.append(now)
             now = header + row
     return [*out, now] if now != header or not out else out
+
+
+def line_split(text: str, limit: int) -> list[str]:
+    """Whole lines gathered up to `limit`, and what is longer cut every `limit` characters."""
+    gathered, now = [], ""
+    lines = text.split("\n")
+    for line in (x + "\n" for x in lines[:-1]):
+        if now and len(now) + len(line) > limit:
+            gathered.append(now)
+            now = ""
+        now += line
+    now += lines[-1]
+    return [part[i : i + limit] for part in [*gathered, now] for i in range(0, len(part), limit)]

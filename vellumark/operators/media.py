@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -31,7 +32,7 @@ def container_kind(content: Column) -> Column:
 
 
 def pixel_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height of PNG, GIF, BMP, ICO, JPEG, WEBP and TIFF bytes."""
+    """Width and height of PNG, GIF, BMP, ICO, JPEG, WEBP, TIFF, HEIF and SVG bytes."""
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return struct.unpack(">II", data[16:24])
@@ -70,7 +71,21 @@ def pixel_size(data: bytes) -> tuple[int, int] | None:
                 tag, kind, _, value = struct.unpack(e + "HHI4s", data[at + 2 + 12 * k : at + 14 + 12 * k])
                 found[tag] = struct.unpack(e + ("H" if kind == 3 else "I"), value[: 2 if kind == 3 else 4])[0]
             return found[256], found[257]
-    except (struct.error, IndexError, KeyError):
+        if data[4:8] == b"ftyp" and data[8:12] in (b"heic", b"heix", b"mif1", b"msf1", b"avif", b"hevc"):
+            at = data.find(b"ispe")  # the property that holds the size of the picture
+            sizes = []
+            while at >= 0:
+                sizes.append(struct.unpack(">II", data[at + 8 : at + 16]))
+                at = data.find(b"ispe", at + 4)
+            return max(sizes, key=lambda s: s[0] * s[1]) if sizes else None
+        head = data[:4096].decode("latin-1")
+        if (tag := re.search(r"<svg\b[^>]*>", head, re.I)) is not None:
+            side = lambda k: re.search(rf"\b{k}\s*=\s*[\"']\s*([0-9.]+)\s*(?:px)?\s*[\"']", tag[0])
+            box = re.search(r"viewBox\s*=\s*[\"']\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)", tag[0])
+            if side("width") and side("height"):
+                return round(float(side("width")[1])), round(float(side("height")[1]))
+            return (round(float(box[1])), round(float(box[2]))) if box else None
+    except (struct.error, IndexError, KeyError, ValueError):
         return None
     return None
 
@@ -106,13 +121,14 @@ def keep_reasons(min_side: int = 20, max_bytes: int | None = None, vector: bool
 def dedupe(assets: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept assets, id mapping): of assets with one sha256 the smallest arrival (`idx`) stays; `id` to `kept_id`.
 
-    Assets without sha256 all stay. With `most` only so many are kept in order of arrival; the mapping then has null for
+    Assets without sha256 all stay. With `most` only so many are kept in order of arrival (their keys go through one task, so
+    it should be a cap as of a document or a page); the mapping then has null for
     what went. The first of a hash is a map-side minimum, so a picture on every page is no burden to one task.
     """
     keyed = assets.withColumn("_key", F.coalesce("sha256", F.concat(F.lit("id:"), F.col("id").cast("string"))))
     first = keyed.groupBy("_key").agg(F.min_by("id", "idx").alias("kept_id"), F.min("idx").alias("_idx"))
     if most is not None:
-        first = first.withColumn("_n", F.row_number().over(Window.orderBy("_idx"))) if most > 10_000 else first.join(first.orderBy("_idx").limit(most).select("_key", F.lit(1).alias("_n")), "_key", "left")
+        first = first.join(first.orderBy("_idx").limit(most).select("_key", F.lit(1).alias("_n")), "_key", "left")
         first = first.withColumn("kept_id", F.when(F.coalesce("_n", F.lit(most + 1)) <= most, F.col("kept_id"))).drop("_n")
     mapping = keyed.join(first, "_key").select("id", "kept_id")
     kept = assets.join(first.filter("kept_id is not null").select(F.col("kept_id").alias("id")), "id", "left_semi")

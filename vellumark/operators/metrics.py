@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +14,25 @@ from vellumark.functions.text import is_separator
 
 
 def token_recall(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_kept, n_out: words of the documents, those found again as a multiset, and words put out."""
-    words = lambda df, c: df.select("doc_id", F.explode(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
-    both = words(docs, "text").withColumn("side", F.lit(0)).union(words(paragraphs, "content").withColumn("side", F.lit(1)))
-    # Both sides of a word meet in one sum, so no join is needed.
-    counts = both.groupBy("doc_id", "w").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    return counts.groupBy("doc_id").agg(F.sum("a").alias("n_tokens"), F.sum(F.least("a", "b")).alias("n_kept"), F.sum("b").alias("n_out"))
+    """doc_id, n_tokens, n_kept, n_out: words of the documents, those found again as a multiset, and words put out.
+
+    Pieces and texts meet by document, and words are counted inside the row: no word is shuffled by itself.
+    """
+
+    @F.pandas_udf("n_tokens long, n_kept long, n_out long")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        found = re.compile(r"\w+").findall
+        for texts, pieces in batches:
+            rows = []
+            for text, own in zip(texts, pieces, strict=True):
+                a, b = (Counter(w for t in side if t is not None for w in found(t)) for side in (text, own))
+                rows.append((a.total(), (a & b).total(), b.total()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "n_kept", "n_out"])
+
+    both = docs.select("doc_id", F.lit(0).alias("side"), F.col("text").alias("t")).unionByName(paragraphs.select("doc_id", F.lit(1).alias("side"), F.col("content").alias("t")))
+    held = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("t")))
+    gathered = both.groupBy("doc_id").agg(held(0).alias("texts"), held(1).alias("pieces"))
+    return gathered.select("doc_id", run("texts", "pieces").alias("r")).select("doc_id", "r.*").filter("n_tokens + n_out > 0")
 
 
 def piece_stats(pieces: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ to the scan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vellumark.operators import kernels
 from vellumark.options import DEFAULT_CHUNK, SliceOptions
@@ -91,3 +93,51 @@ def chunk_paragraphs(paragraphs: DataFrame, chunk_size: int = DEFAULT_CHUNK, chu
     if carry_title:
         rows = rows.withColumn("content", F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("# "), "title", F.lit("\n"), "content")).otherwise(F.col("content")))
     return rows
+
+
+def line_pieces(text: Column, limit: int) -> Column:
+    """array<string>: the pieces of kernels.line_split."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else kernels.line_split(t, limit))
+
+    return run(text)
+
+
+def chunk_with(paragraphs: DataFrame, handler: Callable[[list[str], int], list[str]], chunk_size: int = DEFAULT_CHUNK, carry_title: bool = False) -> DataFrame:
+    """As chunk_paragraphs, with a chunker of the caller's own: handler([text], size) gives the chunks of one paragraph."""
+    size = max(50, chunk_size)
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [] if t is None else [c for c in handler([t], size) if c])
+
+    rows = paragraphs.select("doc_id", "para_idx", "title", F.posexplode(run("content")).alias("chunk_idx", "content"))
+    return rows.withColumn("content", F.concat(F.lit("# "), "title", F.lit("\n"), "content")) if carry_title else rows
+
+
+def map_items(items: DataFrame, worker: Callable[[dict], str], set_up: Callable[[], None] | None = None) -> DataFrame:
+    """Any function over rows, in parallel and each by itself: the columns of `items`, ok, value (string), error_type, error.
+
+    The worker gets a row as a dictionary. A row it fails on has the error in place of a value and stops no other;
+    set_up is called once in each task before the first row.
+    """
+    schema = StructType([*items.schema.fields]).add("ok", "boolean").add("value", "string").add("error_type", "string").add("error", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if set_up is not None:
+            set_up()
+        for batch in batches:
+            done: list[tuple] = []
+            for row in batch.to_pylist():
+                try:
+                    done.append((True, worker(row), None, None))
+                except Exception as error:  # noqa: BLE001
+                    done.append((False, None, type(error).__name__, str(error)))
+            columns = list(zip(*done, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(columns[0], pa.bool_()), *(pa.array(c, pa.string()) for c in columns[1:])], names=[*batch.schema.names, "ok", "value", "error_type", "error"])
+
+    return items.mapInArrow(run, schema)

@@ -15,9 +15,12 @@ import importlib
 import io
 import json
 import lzma
+import os
 import posixpath
 import re
+import shutil
 import tarfile
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Callable
@@ -28,6 +31,7 @@ from xml.etree import ElementTree as ET
 from vellumark.errors import LimitExceeded, ParseFailure, SliceError, UnsupportedFormat
 from vellumark.operators import kernels
 from vellumark.options import ParserLimits, SliceOptions
+from vellumark.sources import pdf
 from vellumark.sources.dispatch import reader_of
 
 
@@ -788,18 +792,31 @@ def _optional(module: str, name: str):
 
 
 def read_pdf(content: bytes, name: str, context: Context) -> list[Group]:
-    reader = _optional("pypdf", name).PdfReader(io.BytesIO(content))
-    return [Group(name, "\n\n".join(p.extract_text() or "" for p in reader.pages))]
+    document = pdf.open_document(content, name)
+    found = pdf.paragraphs(document, context.options)
+    return [Group(name, pdf.font_text(document)) if found is None else Group(name, rows=found)]
 
 
 def read_xls(content: bytes, name: str, context: Context) -> list[Group]:
     book = _optional("xlrd", name).open_workbook(file_contents=content)
-    return [Group(s.name, rows=_packed([[str(c) for c in s.row_values(r)] for r in range(s.nrows)], context.options.limit, True)) for s in book.sheets()]
+    return [Group(s.name, rows=_packed(old_rows(s), context.options.limit, True)) for s in book.sheets()]
+
+
+def old_rows(sheet) -> list[list[str]]:
+    """Rows of a sheet of an old workbook, merged ranges filled with their first cell."""
+    rows = [[str(c) for c in sheet.row_values(r)] for r in range(sheet.nrows)]
+    for top, bottom, left, right in getattr(sheet, "merged_cells", ()):
+        for r in range(top, min(bottom, len(rows))):
+            for c in range(left, min(right, len(rows[r]))):
+                rows[r][c] = rows[top][left]
+    return [r for r in rows if any(x.strip() for x in r)]
 
 
 def read_msg(content: bytes, name: str, context: Context) -> list[Group]:
     message = _optional("extract_msg", name).Message(io.BytesIO(content))
-    return [Group(name, f"# {message.subject or '(无主题)'}\n\n{message.body or ''}")]
+    page = getattr(message, "htmlBody", None)
+    body = message.body or (html_to_markdown(html_text(page if isinstance(page, bytes) else str(page).encode())) if page else "")
+    return [Group(name, f"# {message.subject or '(无主题)'}\n\n{body}")]
 
 
 def read_7z(content: bytes, name: str, context: Context) -> list[Group]:
@@ -808,8 +825,25 @@ def read_7z(content: bytes, name: str, context: Context) -> list[Group]:
 
 
 def read_mobi(content: bytes, name: str, context: Context) -> list[Group]:
-    _optional("mobi", name)
-    raise UnsupportedFormat("mobi packages unpack to local files only")
+    """The package unpacks to a folder of this worker's own, which is read at once and removed."""
+    unpack = _optional("mobi", name).extract
+    with tempfile.TemporaryDirectory() as folder:
+        source = os.path.join(folder, "book.mobi")
+        with open(source, "wb") as file:
+            file.write(content)
+        kept, path = unpack(source)
+        try:
+            if os.path.getsize(path) > context.limits.max_member_bytes:
+                raise LimitExceeded("book too large")
+            with open(path, "rb") as file:
+                data = file.read()
+        finally:
+            shutil.rmtree(kept, ignore_errors=True)
+    if path.lower().endswith(".epub"):
+        return read_epub(data, name, context)
+    if path.lower().endswith((".html", ".htm", ".xhtml")):
+        return read_html(data, name, context)
+    raise UnsupportedFormat(f"{name} unpacks to {os.path.basename(path)}")
 
 
 _READ: dict[str, Callable[[bytes, str, Context], list[Group]]] = {

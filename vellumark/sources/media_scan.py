@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from vellumark.errors import SliceError
 from vellumark.options import ParserLimits
+from vellumark.sources import pdf
 from vellumark.sources.formats import decode, html_text, package
 
 _SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".tif", ".tiff", ".ico", ".svg", ".emf", ".wmf", ".heic")
-_REFERENCE = re.compile(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)[^)]*\)|<img\b[^>]*?\bsrc\s*=\s*[\"']?([^\"'\s>]+)[^>]*>|xlink:href=[\"']([^\"']+)[\"']", re.I)
+_REFERENCE = re.compile(r"!\[[^\]]*?\]\([ \t]*<?([^\s()<>]+)[^()]*\)|<img\b[^>]*?\bsrc\s*=\s*[\"']?([^\"'\s>]+)[^>]*>|xlink:href=[\"']([^\"']+)[\"']", re.I)
 _HEADING = re.compile(r"^#{1,6}[ \t]+([^\n]+)$|<h[1-6][^>]*>(.*?)</h[1-6]>", re.I | re.M | re.S)
 _TAG = re.compile(r"<[^>]*>")
 ASSETS = "kind string, scanned int, skipped map<string,int>, assets array<struct<idx:int,file_name:string,src:string,content:binary,heading:string,anchor:string,role:string>>"
@@ -108,6 +109,14 @@ def scan_media(content: bytes, name: str, limits: ParserLimits | None = None) ->
             if n.lower().endswith(_SUFFIXES) and n not in used:
                 scan.add(posixpath.basename(n), archive.read(n), n, role="document" if "cover" in n.lower() else "")
         return scan
+    if content[:4] == b"%PDF":
+        scan, document = Scan("pdf"), pdf.open_document(content, name)
+        for number, images in enumerate(document.images):
+            lines = document.lines[number] if number < len(document.lines) else []
+            heading = max(lines, key=lambda x: x[1])[0] if len({s for _, s in lines}) > 1 else ""
+            for file_name, data in images:
+                scan.add(file_name, data, f"page {number + 1}", heading, re.sub(r"\s+", " ", document.pages[number]).strip()[-96:])
+        return scan
     if low.endswith((".eml", ".mht", ".mhtml", ".mbox")):
         scan, message = Scan("mime"), email.message_from_bytes(content, policy=email.policy.default)
         parts, pages = {}, []

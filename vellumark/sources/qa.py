@@ -15,7 +15,7 @@ from vellumark.errors import SliceError, UnsupportedFormat
 from vellumark.operators.kernels import is_separator
 from vellumark.operators.tables import qa_rows
 from vellumark.options import ParserLimits
-from vellumark.sources.formats import decode, package, sheets
+from vellumark.sources.formats import _optional, decode, old_rows, package, sheets
 
 Sheet = tuple[str, list[list[str]]]
 
@@ -42,12 +42,14 @@ def read_sheets(content: bytes, name: str, limits: ParserLimits | None = None) -
         return [(stem, list(csv.reader(io.StringIO(decode(content, limits), newline=""))))]
     if low.endswith((".xlsx", ".xlsm")):
         return [(stem if title == "Sheet1" else title, rows) for title, rows in sheets(content, limits)]
+    if low.endswith((".xls", ".xlt")):
+        return [(stem if s.name == "Sheet1" else s.name, old_rows(s)) for s in _optional("xlrd", name).open_workbook(file_contents=content, formatting_info=True).sheets()]
     if low.endswith((".md", ".markdown")):
         return markdown_sheets(decode(content, limits), stem)
     if low.endswith(".zip"):
         archive, out = package(content, limits), []
         for member in archive.namelist():
-            if member.lower().endswith((".csv", ".xlsx")) and not member.startswith("__MACOSX/"):
+            if member.lower().endswith((".csv", ".xlsx", ".xls")) and not member.startswith("__MACOSX/"):
                 try:
                     out += read_sheets(archive.read(member), posixpath.basename(member), limits)
                 except SliceError:
