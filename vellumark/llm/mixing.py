@@ -290,8 +290,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
     kept = [c for c in docs.columns if c not in names]
     source = docs.select(*[c for c in kept if c != text], F.col(doc_id).alias("_id"), F.col(text).cast("string").alias(text))
 
-    def measured(frame: DataFrame, texts: bool) -> DataFrame:
-        """The columns of `frame` but the last two (id and text, of which the text stays if `texts`), and _n and _p."""
+    def measured(frame: DataFrame, texts: bool, history: np.ndarray | None = None) -> DataFrame:
+        """The columns of `frame` but the last two (id and text, of which the text stays if `texts`), _n and _p, and with a history the rate."""
         own = [*frame.columns[:-2], *([text] if texts else [])]
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,21 +305,22 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
                     labelled_at = np.flatnonzero(place.is_valid())
                     p[labelled_at] = np.eye(k)[domain[place.drop_null().to_numpy()]]
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), k).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([*(x.slice(first, end - first) for x in rest), pa.array(counts, pa.int64()), lists], names=[*own, "_n", "_p"])
+                    more = [] if history is None else [pa.array(rates(p, history, max_rate))]
+                    yield pa.RecordBatch.from_arrays([*(x.slice(first, end - first) for x in rest), pa.array(counts, pa.int64()), lists, *more], names=[*own, "_n", "_p", "rate"][: len(own) + 2 + len(more)])
 
-        return frame.mapInArrow(measure, StructType([frame.schema[c] for c in own]).add("_n", "long").add("_p", ArrayType(DoubleType())))
+        schema = StructType([frame.schema[c] for c in own]).add("_n", "long").add("_p", ArrayType(DoubleType()))
+        return frame.mapInArrow(measure, schema if history is None else schema.add("rate", "double"))
 
     table = cut(measured(source.select("_id", text), False) if keep_text else measured(source, False))
     fit = find_rates(table.select(F.col("_n").alias("n"), F.col("_p").alias("p")), goal, max_rate)
     history = fit.history
-    rows = measured(source, True) if keep_text else table
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, history, max_rate))], names=[*batch.schema.names, "rate"])
 
-    rated = rows.mapInArrow(rate, StructType(list(rows.schema.fields)).add("rate", "double"))
+    rated = measured(source, True, history) if keep_text else table.mapInArrow(rate, StructType(list(table.schema.fields)).add("rate", "double"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(29), doc_id), 11) / F.lit(float(1 << 53))
     return rated.select(
         *[c for c in kept if keep_text or c != text],

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Code points that count as white space in every contract of this subpackage.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -64,14 +64,16 @@ def discard(*frames: DataFrame) -> None:
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it Spark deletes the shuffle files of each query as it ends: what goes on is checkpointed."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    """Within it Spark deletes the shuffle files of each query as it ends (what goes on is checkpointed), and rows that hold whole sets go to Python in small batches."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def fresh(columns: list[str], *wanted: str) -> list[str]:
