@@ -135,6 +135,11 @@ def dedupe(assets: DataFrame, most: int | None = None) -> tuple[DataFrame, DataF
     return kept, mapping
 
 
+def not_held(assets: DataFrame, held: DataFrame) -> DataFrame:
+    """Assets whose sha256 is not in `held`; those without bytes all stay."""
+    return assets.join(held.select("sha256").filter("sha256 is not null").distinct(), "sha256", "left_anti")
+
+
 def remap_references(paragraphs: DataFrame, mapping: DataFrame) -> DataFrame:
     """Rewrite image ids in `content` (doc_id, para_idx, content) by (id, kept_id); ids without an entry stay.
 

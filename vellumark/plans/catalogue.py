@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellumark.functions import text as T
 from vellumark.operators import media, metrics, passes, split, tables
 from vellumark.options import SliceOptions
-from vellumark.plans import reading, sql
+from vellumark.plans import guards, reading, sql
 from vellumark.sources import dispatch, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +59,6 @@ def budget_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n_pieces"), F.sum(size).alias("n_chars"), F.min(size).alias("least"), F.max(size).alias("most"))
 
 
-@query("token_budget_words")
-def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = SliceOptions(limit=120, length_fn=lambda s: len(s.split()))
-    return split.budget_split(table(spark, sf_dir, "documents"), options)
-
-
 @query("mark_chunk_256", sql.mark("SELECT doc_id, text FROM documents"))
 def mark_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.explode_pieces(table(spark, sf_dir, "documents"), split.mark_pieces(F.col("text"), 256))
@@ -127,11 +121,6 @@ def heading_chain_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.slice_documents(_markdown(spark, sf_dir), SliceOptions(limit=100_000))
 
 
-@query("slice_tree_limit_200")
-def slice_tree_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.slice_documents(_markdown(spark, sf_dir), SliceOptions(limit=200, overlap=40))
-
-
 @query("fence_aware_strip", "SELECT conv_id AS doc_id, turn::INT AS turn, 'head ' || turn || chr(10) || text || chr(10) || '```' || chr(10) || '# kept ' || role || chr(10) || '```' || chr(10) || 'after' AS content FROM conversations")
 def fence_aware_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat(F.lit("# head "), F.col("turn").cast("string"), F.lit("\n"), "text", F.lit("\n```\n# kept "), "role", F.lit("\n```\n### after"))
@@ -437,6 +426,6 @@ def cached_formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cached_values(cells.drop("n_name"), cells.filter("r % 2 = 0").select("sheet", "r", "c", F.col("n_name").alias("value")))
 
 
-for _module in (reading,):
+for _module in (reading, guards):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -224,17 +224,17 @@ KINDS: dict[str, tuple[str, Callable[[str, Parts], str | bytes]]] = {
 }
 
 
-def document(kind: str, head: str, parts: Parts) -> bytes:
-    made = KINDS[kind][1](head, parts)
-    return made if isinstance(made, bytes) else made.encode()
-
-
 def document_column(kind: str, head: Column, titles: Column, texts: Column) -> Column:
     """The bytes of one document for each row."""
+    make = KINDS[kind][1]
+
+    def document(head: str, parts: Parts) -> bytes:
+        made = make(head, parts)
+        return made if isinstance(made, bytes) else made.encode()
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for heads, names, bodies in batches:
-            yield pd.Series([document(kind, h, list(zip(n, b, strict=True))) for h, n, b in zip(heads, names, bodies, strict=True)], dtype=object)
+            yield pd.Series([document(h, list(zip(n, b, strict=True))) for h, n, b in zip(heads, names, bodies, strict=True)], dtype=object)
 
     return run(head, titles, texts)
