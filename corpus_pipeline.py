@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm import linededup, mixing, neardup, packing, rules
 from vellumark.llm.queries import TARGETS
-from vellumark.llm.shared import cut, shared_folder, table
+from vellumark.llm.shared import cut, delete, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet to the shared folder of spark.checkpoint.dir and read again."""
+    """All stages over `documents`, each written as Parquet to the shared folder of spark.checkpoint.dir and read again.
+
+    What a stage has read is deleted when the next is written; the input of the last stage stays, as its rows are lazy.
+    """
     root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
@@ -80,4 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{root}/{k}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if k:
+                delete(spark, f"{root}/{k - 1}")
     return docs

@@ -111,3 +111,25 @@ def test_chats_are_formatted_and_read_back(spark):
 def test_no_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_line_dedup_with_names_that_could_clash(spark):
+    names = ["_doc", "_text", "_mine", "_gone", "_lines", "_pos", "_key", "__h1", "n_lines", "n_dropped"]
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string, lang string")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"own {k}"))
+    got = linededup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "lang", *names[:-2], "n_lines", "n_dropped"]
+    rows = got.collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in rows), key=str) == brute_lines(DOCS)
+    assert all(r[name] == f"own {k}" for r in rows for k, name in enumerate(names[:-2]))
+
+
+def test_loss_text_is_cut_by_the_mask(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    want = {c: "".join(x for role, x in w[1] if role == "assistant") for c, w in expected_chats(TURNS, 256).items()}
+    for chunk in (1, 2, 256):
+        rows = chat.format_chats(turns).select("conv_id", chat.loss_text(F.col("formatted"), F.col("loss_mask"), chunk).alias("loss")).collect()
+        assert {r.conv_id: r.loss for r in rows} == want
+    empty = chat.format_chats(turns).select(chat.loss_text(F.col("formatted"), F.slice("loss_mask", 1, 0)).alias("loss")).collect()
+    assert all(r.loss == "" for r in empty)

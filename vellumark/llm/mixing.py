@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from vellumark.llm.rules import _SYMBOLS
-from vellumark.llm.shared import cut, hash_spans, slices, words
+from vellumark.llm.shared import cut, fresh, hash_spans, slices, words
 
 #: Labelled rows the classifier is fitted on, at most (those with the smallest id hashes).
 LABELLED_ROWS = 6000
@@ -288,10 +288,11 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
     shared = spark.sparkContext.broadcast((weights, known, np.fromiter(given.values(), np.int64, len(given))))
     names = ["n_tokens", *(f"{kind}_{d}" for kind in ("p", "goal", "fitted") for d in domains), "rate", "copies"]
     kept = [c for c in docs.columns if c not in names]
-    source = docs.select(*[c for c in kept if c != text], F.col(doc_id).alias("_id"), F.col(text).cast("string").alias(text))
+    id_, n_, p_ = fresh(docs.columns, "id", "n", "p")
+    source = docs.select(*[c for c in kept if c != text], F.col(doc_id).alias(id_), F.col(text).cast("string").alias(text))
 
     def measured(frame: DataFrame, texts: bool, history: np.ndarray | None = None) -> DataFrame:
-        """The columns of `frame` but the last two (id and text, of which the text stays if `texts`), _n and _p, and with a history the rate."""
+        """The columns of `frame` but the last two (id and text, of which the text stays if `texts`), their tokens and posteriors, and with a history the rate."""
         own = [*frame.columns[:-2], *([text] if texts else [])]
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,13 +307,13 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
                     p[labelled_at] = np.eye(k)[domain[place.drop_null().to_numpy()]]
                     lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), k).cast(pa.list_(pa.float64()))
                     more = [] if history is None else [pa.array(rates(p, history, max_rate))]
-                    yield pa.RecordBatch.from_arrays([*(x.slice(first, end - first) for x in rest), pa.array(counts, pa.int64()), lists, *more], names=[*own, "_n", "_p", "rate"][: len(own) + 2 + len(more)])
+                    yield pa.RecordBatch.from_arrays([*(x.slice(first, end - first) for x in rest), pa.array(counts, pa.int64()), lists, *more], names=[*own, n_, p_, "rate"][: len(own) + 2 + len(more)])
 
-        schema = StructType([frame.schema[c] for c in own]).add("_n", "long").add("_p", ArrayType(DoubleType()))
+        schema = StructType([frame.schema[c] for c in own]).add(n_, "long").add(p_, ArrayType(DoubleType()))
         return frame.mapInArrow(measure, schema if history is None else schema.add("rate", "double"))
 
-    table = cut(measured(source.select("_id", text), False) if keep_text else measured(source, False))
-    fit = find_rates(table.select(F.col("_n").alias("n"), F.col("_p").alias("p")), goal, max_rate)
+    table = cut(measured(source.select(id_, text), False) if keep_text else measured(source, False))
+    fit = find_rates(table.select(F.col(n_).alias("n"), F.col(p_).alias("p")), goal, max_rate)
     history = fit.history
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +325,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, fl
     u = F.shiftrightunsigned(F.xxhash64(F.lit(29), doc_id), 11) / F.lit(float(1 << 53))
     return rated.select(
         *[c for c in kept if keep_text or c != text],
-        F.col("_n").alias("n_tokens"),
-        *[F.get("_p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)],
+        F.col(n_).alias("n_tokens"),
+        *[F.get(p_, F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)],
         *[F.lit(float(fit.goal[i])).alias(f"goal_{d}") for i, d in enumerate(domains)],
         *[F.lit(float(fit.fitted[i])).alias(f"fitted_{d}") for i, d in enumerate(domains)],
         "rate",

@@ -58,8 +58,14 @@ def discard(*frames: DataFrame) -> None:
         context = frame.sparkSession.sparkContext
         file = frame._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
-            path = context._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete(frame.sparkSession, file.get())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
