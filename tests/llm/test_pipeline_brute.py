@@ -36,7 +36,7 @@ def corpus():
     near = lambda i: (300 + i, docs[i][1] + " tail", "en")
     long = prose(200)
     docs += [(500, long, "en"), (501, long + " changed", "en"), (502, long.replace(".", "") + " other end.", "en")]
-    docs += [near(7), near(11), (400, docs[13][1], "de"), (401, "word " * 60, "x"), (402, None, "x"), (403, "", "x"), (404, "too short", "x"), (None, docs[14][1] + " Another line of its own for this row.", "x"), (20, "another text on the same id, with ten words and a few more", "y"), (20, docs[20][1], "en")]
+    docs += [near(7), near(11), (400, docs[13][1], "de"), (401, "word " * 60, "x"), (402, None, "x"), (403, "", "x"), (404, "too short", "x"), (None, docs[14][1] + " Another line of its own for this row.", "x"), (None, "a row without an id that is like no other row of this whole corpus", "x"), (20, "another text on the same id, with ten words and a few more", "y"), (20, docs[20][1], "en")]
     return docs, labels[:90]
 
 
