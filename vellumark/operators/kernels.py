@@ -6,6 +6,7 @@ headings or repeated text cannot be mistaken for each other.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -88,25 +89,58 @@ def mask_fences(text: str) -> str:
     return _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def _walk(text: str, masked: str, a: int, b: int, level: int, chain: tuple[str, ...], patterns: list[re.Pattern], options: SliceOptions) -> Iterator[tuple[tuple[str, ...], str]]:
+_HEADING = re.compile(r"^(#{1,6}) (.*)", re.M)
+_BLANK_RUN = re.compile(BLANK_LINES)
+
+
+class _Cuts:
+    """Where each pattern occurs, outermost first. Markdown's are found in two scans of the whole text, others by a scan of each part."""
+
+    def __init__(self, masked: str, patterns: tuple[str, ...]) -> None:
+        self.masked, self.levels = masked, len(patterns)
+        self.patterns = [re.compile(p, re.M) for p in patterns]
+        self.known = patterns in (MARKDOWN, MARKDOWN[:6])
+        if self.known:
+            self.starts: list[list[int]] = [[] for _ in patterns]
+            self.ends: list[list[int]] = [[] for _ in patterns]
+            for m in _HEADING.finditer(masked):
+                level, rest = len(m[1]), m[2]
+                if rest.replace("#", "").strip() and not rest.startswith("-*- coding:" if level == 1 else "#"):
+                    self.starts[level - 1].append(m.start())
+                    self.ends[level - 1].append(min(m.end(), m.start() + 255))
+            if self.levels == 7:
+                for m in _BLANK_RUN.finditer(masked):
+                    self.starts[6].append(m.start())
+                    self.ends[6].append(min(m.end(), m.start() + 255))
+
+    def first(self, level: int, a: int, b: int) -> list[tuple[int, int]]:
+        """(start, end) of the outermost pattern from `level` on that occurs in [a, b); headings without text do not count."""
+        for k in range(level, self.levels):
+            if self.known:
+                i, j = bisect.bisect_left(self.starts[k], a), bisect.bisect_left(self.starts[k], b)
+                found = list(zip(self.starts[k][i:j], self.ends[k][i:j], strict=True))
+            else:
+                found = [(m.start(), min(m.end(), m.start() + 255)) for m in self.patterns[k].finditer(self.masked, a, b) if m[0].replace("#", "").strip() or m[0].startswith("\n")]
+            if found:
+                return found
+        return []
+
+
+def _walk(text: str, cuts: _Cuts, a: int, b: int, level: int, chain: tuple[str, ...], options: SliceOptions) -> Iterator[tuple[tuple[str, ...], str]]:
     """(chain of headings, block) of text[a:b], cut along the outermost pattern from `level` on that occurs there."""
-    found: list[tuple[int, int]] = []
-    for pattern in patterns[level:]:
-        found = [(m.start(), min(m.end(), m.start() + 255)) for m in pattern.finditer(masked, a, b) if m[0].replace("#", "").strip() or m[0].startswith("\n")]
-        if found:
-            break
+    found = cuts.first(level, a, b)
     if not found:
         yield from ((chain, piece) for piece in budget_split(text[a:b], options))
         return
     if text[a : found[0][0]].strip() or (level == 0 and found[0][0] > a and text[a : found[0][0]]):
         if level == 0:
-            yield from _walk(text, masked, a, found[0][0], 1, (*chain, ""), patterns, options)
+            yield from _walk(text, cuts, a, found[0][0], 1, (*chain, ""), options)
         else:
             yield from ((chain, piece) for piece in budget_split(text[a : found[0][0]], options))
     for (start, end), after in zip(found, [*(s for s, _ in found[1:]), b], strict=True):
         if end == after:
             continue
-        inner = list(_walk(text, masked, end, after, level + 1, (*chain, text[start:end]), patterns, options))
+        inner = list(_walk(text, cuts, end, after, level + 1, (*chain, text[start:end]), options))
         yield from inner or [((*chain, text[start:end]), text[end:after])]
 
 
@@ -118,6 +152,10 @@ def carry_headers(blocks: Iterable[str]) -> Iterator[str]:
     """Blocks in order; one that goes on with a table cut before it gets the table's last header in front."""
     header, inside = None, False
     for block in blocks:
+        if "|" not in block:
+            inside = False
+            yield block
+            continue
         lines = block.split("\n")
         if inside and header and lines[0].lstrip().startswith("|") and not (len(lines) > 1 and is_separator(lines[1])):
             block = f"{header}\n{block}"
@@ -173,9 +211,9 @@ def overlap_rows(rows: list[tuple[str, str]], options: SliceOptions, separator:
 def slice_text(text: str, options: SliceOptions, fallback_title: str = "") -> list[tuple[str, str]]:
     """(title, content) paragraphs of one text along its heading tree."""
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "")
-    patterns = [re.compile(p, re.M) for p in (MARKDOWN if options.patterns is None else options.patterns)]
+    patterns = MARKDOWN if options.patterns is None else tuple(options.patterns)
     pieces = options if options.overlap == 0 else SliceOptions(limit=options.limit, boundary=options.boundary, lookback=options.lookback, min_chunk=options.min_chunk, length_fn=options.length_fn)
-    found = list(_walk(text, mask_fences(text), 0, len(text), 0, (), patterns, pieces))
+    found = list(_walk(text, _Cuts(mask_fences(text), patterns), 0, len(text), 0, (), pieces))
     contents = carry_headers(block for _, block in found)
     rows = [(" ".join(chain), clean(c) if options.with_filter else c) for (chain, _), c in zip(found, contents, strict=True)]
     titles = {title for title, _ in rows}

@@ -360,10 +360,10 @@ def toc_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passes.ancestor_titles(_entries(spark, sf_dir)).select("doc_id", "entry", "chain")
 
 
-@query("toc_page_owner", f"WITH e AS ({_ENTRIES}), p AS (SELECT DISTINCT doc_id, unnest(range(0, 20))::INT AS page FROM e) SELECT p.doc_id, p.page, max(e.entry) AS entry FROM p LEFT JOIN e ON e.doc_id = p.doc_id AND e.page <= p.page GROUP BY p.doc_id, p.page")
+@query("toc_page_owner", f"WITH e AS ({_ENTRIES}), p AS (SELECT doc_id, unnest(range(0, max(page) + 1))::INT AS page FROM e GROUP BY doc_id) SELECT p.doc_id, p.page, max(e.entry) AS entry FROM p LEFT JOIN e ON e.doc_id = p.doc_id AND e.page <= p.page GROUP BY p.doc_id, p.page")
 def toc_page_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
-    pages = entries.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("page"))
+    pages = entries.groupBy("doc_id").agg(F.max("page").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("page"))
     return passes.page_owners(pages, entries)
 
 
