@@ -208,3 +208,32 @@ def test_a_common_passage_makes_no_pairs(spark, monkeypatch):
         rows = neardup.near_duplicates(spark.createDataFrame(passages(n), "doc_id long, text string")).collect()
         assert len(rows) == n and all(r.kept for r in rows)
     assert len(made) == 2 and all(m <= n for m, n in zip(made, (200, 400), strict=True))
+
+
+def test_long_texts_are_measured_in_parts(monkeypatch):
+    draw = random.Random(17)
+    vocabulary = ["".join(draw.choice("abcdé#") for _ in range(draw.randint(1, 6))) for _ in range(40)]
+    texts = [" ".join(draw.choice(vocabulary) + draw.choice(["", "", "\n", "\n\n "]) for _ in range(draw.randint(0, 400))) for _ in range(60)]
+    texts += ["", "\n", " \n\n", "x" * 900, "ab " * 300, "no end\n" * 50, "\n".join(["y" * 300, "z", "y" * 300, " "])]
+    weights = np.random.default_rng(3).normal(size=rules.BUCKETS)
+    for size, part in ((64, 50), (16, 1000)):
+        monkeypatch.setattr(rules, "SLICE_BYTES", size)
+        monkeypatch.setattr(rules, "PART", part)
+        monkeypatch.setattr(rules, "segments", lambda data, size=size: shared.segments(data, 4 * size))
+        for text in texts:
+            for _, _, data, offsets in shared.slices(pa.array([text])):
+                got, llr = rules.long_measures(data, weights)
+                want = rules.measures(data, offsets)
+                buckets, _ = want.pop("_features")
+                assert got == {k: int(v[0]) for k, v in want.items()}, repr(text)
+                assert abs(llr - weights[buckets].sum() / max(1, len(buckets))) < 1e-9
+
+
+def test_long_spans_hash_alike(monkeypatch):
+    data = np.frombuffer(("Ab" * 3000 + "end").encode(), np.uint8)
+    spans = (np.array([0, 5, 4000]), np.array([6003, 5005, 6000]))
+    want = shared.hash_spans(data, np.array([0]), np.array([6003])), [shared.hash_spans(data, np.array([a]), np.array([b]))[0] for a, b in zip(*spans, strict=True)]
+    monkeypatch.setattr(shared, "SLICE_BYTES", 100)
+    assert shared.hash_spans(data, np.array([0]), np.array([6003])) == want[0]
+    assert [shared.hash_spans(data, np.array([a]), np.array([b]))[0] for a, b in zip(*spans, strict=True)] == want[1]
+    assert [(a, b) for a, b in shared.segments(np.frombuffer(b"aa bb cccccccccc d", np.uint8), 4)] == [(0, 6), (6, 17), (17, 18)]

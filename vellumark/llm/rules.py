@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vellumark.llm.shared import _IS_WORD, _within, hash_spans, mix, slices, windows, words
+from vellumark.llm.shared import _IS_WORD, SLICE_BYTES, _within, hash_spans, mix, segments, slices, windows, words
 
 BUCKETS = 1 << 16
 #: Raw counts that each bucket is given beforehand.
@@ -19,6 +19,8 @@ PRIOR = 20.0
 THRESHOLD = -0.15
 #: At most so many trusted rows are used for the target multinomial (those with the smallest id hashes).
 TRUSTED_ROWS = 20_000
+#: Longer texts are measured part by part, and so many windows of theirs at once.
+LONG_BYTES, PART = 4 << 20, 2_000_000
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -84,6 +86,79 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def long_features(data: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of features() of one long text, part by part."""
+    last = np.zeros(0, np.uint64)
+    for a, b in segments(data):
+        starts, ends, _ = words(data[a:b], np.array([0, b - a]))
+        single = hash_spans(data[a:b], starts, ends)
+        if not len(single):
+            continue
+        chain = np.concatenate((last, single))
+        pairs, number = windows(chain, np.array([len(chain)]), 2)
+        yield np.concatenate((single, pairs if len(chain) >= 2 else pairs[:0])) % np.uint64(BUCKETS)
+        last = single[-1:]
+
+
+def long_measures(data: np.ndarray, weights: np.ndarray) -> tuple[dict[str, int], float]:
+    """measures() of one long text, and the mean of `weights` over its features, in memory of a few parts.
+
+    What is repeated is found in turns, each for the windows whose hashes lie in one range, so no more than about PART
+    windows are held at once.
+    """
+    out = {"n_words": 0, "word_chars": 0, "n_symbols": int(np.count_nonzero(_SYMBOLS[data])), "n_dup_lines": 0, "n_repeat_words": 0}
+    for a, b in segments(data):
+        inside = _IS_WORD[data[a:b]]
+        out["word_chars"] += int(np.count_nonzero(inside & ((data[a:b] & 0xC0) != 0x80)))
+        out["n_words"] += int(np.count_nonzero(inside & ~np.concatenate(([False], inside[:-1]))))
+    total, number = 0.0, 0
+    for buckets in long_features(data):
+        total, number = total + float(weights[buckets.astype(np.int64)].sum()), number + len(buckets)
+    # Lines with a word, by their hashes.
+    lines: list[np.ndarray] = []
+    start = 0
+    while start <= len(data):
+        breaks = np.flatnonzero(data[start : start + 4 * SLICE_BYTES] == 10) + start
+        size = 4 * SLICE_BYTES
+        while not len(breaks) and start + size < len(data):  # a line longer than a part
+            breaks = np.flatnonzero(data[start + size : start + 2 * size] == 10)[:1] + start + size
+            size *= 2
+        heads, tails = np.concatenate(([start], breaks[:-1] + 1)) if len(breaks) else np.array([start]), breaks if len(breaks) else np.array([len(data)])
+        part = data[start : int(tails[-1])]
+        filled = np.add.reduceat(np.concatenate((_IS_WORD[part], [False])).astype(np.int64), heads - start) > 0 if len(part) else np.zeros(len(heads), bool)
+        filled &= tails > heads
+        lines.append(hash_spans(data, heads[filled], tails[filled], fold=False))
+        start = int(tails[-1]) + 1
+    hashes = np.sort(np.concatenate(lines))
+    out["n_dup_lines"] = int(np.count_nonzero(hashes[1:] == hashes[:-1]))
+    turns = max(1, -(-out["n_words"] // PART))
+    covered = np.zeros(out["n_words"], bool)
+    for turn in range(turns):
+        held, places = [], []
+        carry, before = np.zeros(0, np.uint64), 0
+        for a, b in segments(data):
+            starts, ends, _ = words(data[a:b], np.array([0, b - a]))
+            chain = np.concatenate((carry, hash_spans(data[a:b], starts, ends, fold=False)))
+            if len(chain) >= 5:
+                runs, _ = windows(chain, np.array([len(chain)]), 5)
+                mine = np.flatnonzero(runs % np.uint64(turns) == turn)
+                held.append(runs[mine])
+                places.append(mine + before)
+                before += len(chain) - 4
+                carry = chain[-4:]
+            else:
+                carry = chain
+        runs, at = np.concatenate(held) if held else np.zeros(0, np.uint64), np.concatenate(places) if places else np.zeros(0, np.int64)
+        order = np.argsort(runs, kind="stable")
+        same = np.zeros(len(runs), bool)
+        same[1:] = runs[order][1:] == runs[order][:-1]
+        same[:-1] |= same[1:]
+        for k in range(5):
+            covered[at[order[same]] + k] = True
+    out["n_repeat_words"] = int(np.count_nonzero(covered))
+    return out, total / max(1, number)
+
+
 def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Log-likelihood ratios of the buckets, from every document (raw) and those whose id is in `trusted` (target).
 
@@ -101,6 +176,12 @@ def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: s
         for batch in batches:
             chosen = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             for first, end, data, offsets in slices(batch.column(1)):
+                if len(data) > LONG_BYTES:
+                    for buckets in long_features(data):
+                        own = np.bincount(buckets.astype(np.int64), minlength=BUCKETS)
+                        raw += own
+                        target += own if chosen[first] else 0
+                    continue
                 starts, ends, counts = words(data, offsets)
                 buckets, number = features(data, starts, ends, counts)
                 raw += np.bincount(buckets, minlength=BUCKETS)
@@ -138,6 +219,11 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
         for batch in batches:
             out: dict[str, list[np.ndarray]] = {k: [] for k in (*names, "llr")}
             for _, _, data, offsets in slices(batch.column(at)):
+                if len(data) > LONG_BYTES:
+                    found, llr = long_measures(data, weights)
+                    for k, v in (found | {"llr": llr}).items():
+                        out[k].append(np.array([v]))
+                    continue
                 got = measures(data, offsets)
                 buckets, number = got.pop("_features")
                 owner = np.repeat(np.arange(len(number)), number)

@@ -159,6 +159,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     out = np.empty(len(starts), dtype=np.uint64)
     k = 0
     while k < len(starts):
+        if ends[k] - starts[k] > 2 * SLICE_BYTES:
+            out[k] = _long_hash(data[starts[k] : ends[k]], fold)
+            k += 1
+            continue
         end = max(k + 1, int(np.searchsorted(ends, starts[k] + 2 * SLICE_BYTES, side="right")))
         a, b = int(starts[k]), int(ends[end - 1])
         chunk = data[a:b]
@@ -171,6 +175,30 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     return mix(out)
 
 
+def _long_hash(span: np.ndarray, fold: bool) -> np.uint64:
+    """The same sum for one long span, block by block."""
+    total, power = 0, _power(SLICE_BYTES)[0]
+    for at in range(0, len(span), SLICE_BYTES):
+        block = span[at : at + SLICE_BYTES]
+        part = ((_LOWER[block] if fold else block).astype(np.uint64) + np.uint64(1)) * power[: len(block)]
+        total += int(part.sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return np.uint64((total + len(span)) % (1 << 64))
+
+
+def segments(data: np.ndarray, size: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of about `size` bytes of one text that cut no word; a longer word is a part by itself."""
+    start = 0
+    while start < len(data):
+        end = min(len(data), start + size)
+        while end < len(data):
+            free = np.flatnonzero(~_IS_WORD[data[end : end + size]])
+            end = min(len(data), end + size) if not len(free) else end + int(free[0]) + 1
+            if len(free):
+                break
+        yield start, end
+        start = end
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `size` words that lie in one text, and how many each text has; a text with fewer words has one."""
     factors = constants(size, 77)
