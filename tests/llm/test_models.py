@@ -333,3 +333,23 @@ def test_score_matches_brute_force(spark, monkeypatch):
                 line = after_new[s]
         want.append((str(d), round(total + math.log10(line[k]), 6)))
     assert [g[0] for g in got] == [w[0] for w in sorted(want)] and all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
+
+
+def test_long_texts_are_scored_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    from vellumark.llm import shared
+
+    draw = random.Random(14)
+    model = crf.Model(np.random.default_rng(2).normal(size=(quality_crf.WIDTH, 2)), np.array([[0.7, -0.4], [-0.2, 0.9]]), np.array([0.3, -0.1]), np.array([-0.5, 0.2]))
+    texts = ["\n".join(" ".join(draw.choice(["a", "Bb", "cc|", "12", "é!", "###"]) for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(1, 40))) for _ in range(30)]
+    texts += ["one", "\n", "x " * 300, "a\n" + "b b c " * 80 + "\na\n", "y" * 500 + "\nz"]
+    monkeypatch.setattr(quality_crf, "segments", lambda data: shared.segments(data, 16))
+    for text in texts:
+        for _, _, data, offsets in shared.slices(pa.array([text])):
+            x, chars, number = quality_crf.lines(data, offsets)
+            got, _, _ = crf.marginals(x @ model.weights, model, crf.Chains(number))
+            assert np.allclose(crf.chain_marginals(x @ model.weights, model, block=7), got)
+            want = (got[:, 1] * (chars + 1)).sum() / (chars + 1).sum()
+            for size in (20, 100, 1 << 20):
+                assert abs(quality_crf.long_score(data, model, size) - want) < 1e-9, (size, text)

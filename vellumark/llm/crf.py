@@ -64,6 +64,39 @@ def marginals(scores: np.ndarray, model: Model, chains: Chains, pairs: bool = Fa
     return out / out.sum(axis=1, keepdims=True) if n else out, expected, float(total.sum())
 
 
+def chain_marginals(scores: np.ndarray, model: Model, block: int = 100_000) -> np.ndarray:
+    """marginals() of one very long sequence with two labels, in normalised numbers and blocks: a few numbers a row are held."""
+    n = len(scores)
+    out, forward = np.empty((n, 2)), np.empty((n, 2))
+    (t00, t01), (t10, t11) = np.exp(model.step - model.step.max()).tolist()
+    first, last = (np.exp(x - x.max()).tolist() for x in (model.first, model.last))
+    likely = lambda part: np.exp(part - part.max(axis=1, keepdims=True))
+    x, y = first
+    begun = False
+    for a in range(0, n, block):
+        rows = []
+        for e, f in likely(scores[a : a + block]).tolist():
+            if begun:
+                x, y = (x * t00 + y * t10) * e, (x * t01 + y * t11) * f
+            else:
+                x, y, begun = x * e, y * f, True
+            total = x + y
+            x, y = x / total, y / total
+            rows.append((x, y))
+        forward[a : a + len(rows)] = rows
+    x, y = last
+    for a in reversed(range(0, n, block)):
+        rows = []
+        for e, f in reversed(likely(scores[a : a + block]).tolist()):
+            rows.append((x, y))
+            e, f = e * x, f * y
+            x, y = t00 * e + t01 * f, t10 * e + t11 * f
+            total = x + y
+            x, y = x / total, y / total
+        out[a : a + len(rows)] = forward[a : a + len(rows)] * rows[::-1]
+    return out / out.sum(axis=1, keepdims=True) if n else out
+
+
 def viterbi(scores: np.ndarray, model: Model, chains: Chains) -> np.ndarray:
     """The most probable labels of every row; ties go to the lower label."""
     n, k = scores.shape
