@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellumark.llm import linededup, mixing, neardup, packing, rules
 from vellumark.llm.queries import TARGETS
-from vellumark.llm.shared import cut, delete, shared_folder, table
+from vellumark.llm.shared import cut, delete, discard, shared_folder, table, tidy
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +36,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = F.xxhash64("doc_id", "text")
     worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    judged = docs.filter(worded).select(row.alias("doc_id"), "text")
-    found = neardup.near_duplicates(judged).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")).distinct()
-    ids = docs.filter(worded).select(row.alias("_row"), F.col("doc_id").alias("id")).distinct()
-    first = F.min(F.struct(F.col("id").isNull(), "id", "_row"))
-    kept = cut(found.join(ids, "_row").groupBy("group").agg(first.alias("first")).select(F.col("first._row").alias("_kept")))
-    out = docs.filter(worded).join(kept, row == F.col("_kept"), "left_semi")
-    if out.count() > kept.count():
+    with tidy(spark):
+        judged = docs.filter(worded).select(row.alias("doc_id"), "text")
+        found = neardup.near_duplicates(judged).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")).distinct()
+        ids = docs.filter(worded).select(row.alias("_row"), F.col("doc_id").alias("id")).groupBy("_row").agg(F.first("id").alias("id"), F.count("*").alias("times"))
+        members = cut(found.join(ids, "_row"))
+        firsts = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"))
+        gone = cut(members.join(firsts, "group").filter("_row != first._row").select(F.col("_row").alias("_gone")))
+        repeated = not members.filter("times > 1").isEmpty()
+        discard(members)
+    # Few rows go, so this side is small, and texts are shuffled only where it is too large to be sent out.
+    out = docs.filter(worded).join(gone, row == F.col("_gone"), "left_anti")
+    if repeated:
         out = out.dropDuplicates(["doc_id", "text"])
     return out.unionByName(docs.filter(~worded)).select(*docs.columns)
 
