@@ -13,7 +13,7 @@ from vellumark.functions import text as T
 from vellumark.operators import kernels, media, split
 from vellumark.options import ParserLimits, SliceOptions
 from vellumark.plans import compose, reading, sql
-from vellumark.sources import files, media_scan, pdf
+from vellumark.sources import files, media_scan, pdf, qa
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,6 +303,15 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.slice_many(docs, SliceOptions(), limits=ParserLimits(max_bytes=8000, max_members=30)).select("c_custkey", "error_type", "error_code")
 
 
+@query("question_outcomes", "SELECT 'c' || c_custkey || ['.csv', '.txt', '.csv', '.zip'][c_custkey % 4 + 1] AS name, c_custkey % 4 = 0 AS ok, [NULL, 'UnsupportedFormat', 'UnsupportedFormat', 'ParseFailure'][c_custkey % 4 + 1] AS error_type, [NULL, 400, 400, 500][c_custkey % 4 + 1]::INT AS error_code, CASE WHEN c_custkey % 4 = 0 THEN 2 END AS n_rows FROM customer")
+def question_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = [(".csv", b"Title,Content\nt,c\n"), (".txt", b"x"), (".csv", b"a\0b"), (".zip", b"PK\3\4junk")]
+    kind = (F.col("c_custkey") % 4).cast("int")
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.get(F.array(*[F.lit(n) for n, _ in made]), kind))
+    docs = table(spark, sf_dir, "customer").select(name.alias("name"), F.get(F.array(*[F.lit(b) for _, b in made]), kind).alias("content"))
+    return qa.question_outcomes(docs).drop("error").withColumn("n_rows", F.when(F.col("ok"), F.col("n_rows")))
+
+
 @query("read_image_names", "SELECT p_partkey AS idx, 'p' || p_partkey || '.png' AS title, 'p' || p_partkey || '.png' AS content FROM part")
 def read_image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _rasters(spark, sf_dir).select("idx", F.concat(F.lit("p"), F.col("idx").cast("string"), F.lit(".png")).alias("name"), "content")
