@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.llm.shared import cut, hash_spans, mix, slices, words
+from vellumark.llm.shared import cut, discard, hash_spans, mix, slices, tidy, words
 
 #: Words that are exchanged one by one on the driver (the most frequent), the classes of all words, and sweeps over these words.
 CLUSTERED, CLASSES, SWEEPS = 1024, 64, 5
@@ -22,6 +22,8 @@ BROADCAST_WORDS = 1 << 18
 #: Sweeps over the texts after the first placing; in the last the rare words are placed, too.
 TEXT_SWEEPS = 1
 SHAPES = 16
+#: Counts that a task holds before it sends them on.
+HELD = 900_000
 UNITS = CLUSTERED + SHAPES + 1  # the last is the end of a text
 #: Neighbours that a word is placed by: the classes, the shapes of words not placed yet, and the end. Codes of a text's tokens: the classes, the end, and words unseen in training by shape.
 NEIGHBOURS, END, CODES = CLASSES + SHAPES + 1, CLASSES, CLASSES + 1 + SHAPES
@@ -66,10 +68,10 @@ def _count(rows: DataFrame) -> DataFrame:
                 unique, at, n = np.unique(h, return_index=True, return_counts=True)
                 held.append((unique, shape[at], n))
                 size += len(unique)
-                if size > 1_500_000:
+                if size > HELD:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > HELD * 2 // 3:
                         yield from out(held[0])
                         held, size = [], 0
         if held:
@@ -227,10 +229,10 @@ def _neighbours(rows: DataFrame, known: Broadcast, core: np.ndarray, rare: bool)
                 one = np.ones(len(mine), np.int64)
                 held.append(merged([(h, shape, left, one), (h, shape, right + NEIGHBOURS, one)]))
                 size += len(held[-1][0])
-                if size > 1_500_000:
+                if size > HELD:
                     held = [merged(held)]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > HELD * 2 // 3:
                         yield from out(held[0])
                         held, size = [], 0
         if held:
@@ -409,7 +411,9 @@ def learn(train: DataFrame) -> Learnt:
             got = placed.select("h", "class").toArrow()
             classes = classes.copy()
             classes[np.searchsorted(hashes, got.column("h").to_numpy().view(np.uint64))] = got.column("class").to_numpy()
-    return Learnt(cut(placed), (core_h, core_shape, core_n, core_of), _highest(by_level, BROADCAST_WORDS), total, types, n_docs)
+    out = cut(placed)
+    discard(counts)
+    return Learnt(out, (core_h, core_shape, core_n, core_of), _highest(by_level, BROADCAST_WORDS), total, types, n_docs)
 
 
 def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,7 +446,8 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), held_out(doc_id, parts).alias("held"))
-    learnt = learn(base.filter(~F.col("held")).select("text"))
+    with tidy(spark):
+        learnt = learn(base.filter(~F.col("held")).select("text"))
     placed, (core_h, core_shape, core_n, core_of), total, types, n_docs = learnt.placed, learnt.core, learnt.total, learnt.types, learnt.n_docs
 
     # Emissions: absolute discounting in every class.
@@ -556,7 +561,8 @@ def score_texts(docs: DataFrame, alpha: float = 0.1, parts: int = 10, doc_id: st
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc", "copies", "n_tokens", "n_known", "base", "emit")], chain], names=["doc", "copies", "n_tokens", "n_known", "base", "emit", "chain"])
 
     plain = f"doc {kind}, copies long, n_tokens long, n_known long, base double, emit double"
-    resolved = cut(summed.drop("mine").mapInArrow(fill, f"{plain}, chain binary"))
+    with tidy(spark):
+        resolved = cut(summed.drop("mine").mapInArrow(fill, f"{plain}, chain binary"))
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CODES * CODES)

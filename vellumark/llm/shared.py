@@ -69,9 +69,9 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it Spark deletes the shuffle files of each query as it ends (what goes on is checkpointed), and rows that hold whole sets go to Python in small batches."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
+def tidy(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Within it Spark deletes the shuffle files of each query as it ends (what goes on is checkpointed), and at most `rows` rows, if given, go to Python at once."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
     before = {name: spark.conf.get(name, None) for name in own}
     for name, value in own.items():
         spark.conf.set(name, value)
