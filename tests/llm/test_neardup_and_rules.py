@@ -163,6 +163,22 @@ def test_likelihood_ratio_matches_brute_force_and_splits(spark):
     assert least > max(r.llr for r in got if r.doc_id is not None and 100 <= r.doc_id < 900)
 
 
+def test_every_trusted_row_is_counted(spark):
+    texts = {i: f"aa{i % 701} bb{i % 89} cc{i % 13}" for i in range(21_000)}
+    rows = [*texts.items(), (None, texts[0]), (7, texts[8]), (20_900, texts[9])]  # without an id, of one id twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in [*range(20_500), None, 7, 30_000]], "id long")
+    raw, target = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
+    for first, end, data, offsets in shared.slices(pa.array([t for _, t in rows])):
+        buckets, number = rules.features(data, *shared.words(data, offsets))
+        chosen = [d is not None and d < 20_500 for d, _ in rows[first:end]]
+        raw += np.bincount(buckets, minlength=rules.BUCKETS)
+        target += np.bincount(buckets[np.repeat(chosen, number)], minlength=rules.BUCKETS)
+    share, b = target.sum() / raw.sum(), rules.BUCKETS
+    want = np.log((target + rules.PRIOR * share) / (target.sum() + rules.PRIOR * share * b)) - np.log((raw + rules.PRIOR) / (raw.sum() + rules.PRIOR * b))
+    assert np.allclose(rules.fit(docs, trusted), want, rtol=0, atol=1e-12)
+
+
 def test_rules_without_trusted_rows_or_documents(spark):
     none = spark.createDataFrame([], "id long")
     docs = spark.createDataFrame([(1, "a b c d e f g h i j", 5)], "doc_id long, text string, n_words int")

@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from vellumark.llm.shared import _IS_WORD, SLICE_BYTES, _within, hash_spans, mix, segments, slices, windows, words
+from vellumark.llm.shared import _IS_WORD, SLICE_BYTES, _within, hash_spans, mix, segments, slices, tidy, windows, words
 
 BUCKETS = 1 << 16
 #: Raw counts that each bucket is given beforehand.
 PRIOR = 20.0
 #: Below this mean log-likelihood ratio a text is rejected. Trusted text lies above it, text with junk in its words below.
 THRESHOLD = -0.15
-#: At most so many trusted rows are used for the target multinomial (those with the smallest id hashes).
-TRUSTED_ROWS = 20_000
 #: Longer texts are measured part by part, and so many windows of theirs at once.
 LONG_BYTES, PART = 4 << 20, 2_000_000
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -159,17 +157,18 @@ def long_measures(data: np.ndarray, weights: np.ndarray) -> tuple[dict[str, int]
     return out, total / max(1, number)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Log-likelihood ratios of the buckets, from every document (raw) and those whose id is in `trusted` (target).
 
-    `trusted` has a column of ids. Of these at most `most` are used, those with the smallest hashes; this bound is
-    what lets the ids be broadcast. The raw counts cover all documents. Both multinomials are smoothed with PRIOR raw
-    counts a bucket, in the target by its share of the raw features: a bucket that is rare says little, and text that
-    is clean but not among the trusted rows is not held against its rare words. Without trusted text all ratios are 0.
+    `trusted` has a column of ids. The counts cover all of them and all documents: ids and texts meet by a shuffle,
+    as the ids may be too many to be sent out, and only ids are held in memory. Both multinomials are smoothed with
+    PRIOR raw counts a bucket, in the target by its share of the raw features: a bucket that is rare says little, and
+    text that is clean but not among the trusted rows is not held against its rare words. Without trusted text all
+    ratios are 0.
     """
-    few = trusted.select(F.col(trusted.columns[0]).alias("_id")).filter(F.col("_id").isNotNull()).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).filter(F.col("_id").isNotNull()).distinct()
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_words"))
-    rows = rows.join(F.broadcast(few), F.col("_doc") == F.col("_id"), "left").select(F.col("_id").isNotNull().alias("trusted"), "_words")
+    rows = rows.join(ids.hint("shuffle_hash"), F.col("_doc") == F.col("_id"), "left").select(F.col("_id").isNotNull().alias("trusted"), "_words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -188,7 +187,8 @@ def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: s
                 target += np.bincount(buckets[np.repeat(chosen[first:end], number)], minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"bucket": np.arange(BUCKETS), "raw": raw, "target": target})
 
-    table = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    with tidy(docs.sparkSession):
+        table = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[table["bucket"]], target[table["bucket"]] = table["raw"], table["target"]
     if not target.sum():
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED_ROWS, doc_id: s
     return np.log(p) - np.log(q)
 
 
-def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, llr (double) and kept to `docs`.
 
     base_failed: fewer than ten words, or over a fifth of the words in repeated windows of five. Otherwise a text is
@@ -208,7 +208,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOL
     these names; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    ratios = spark.sparkContext.broadcast(fit(docs, trusted, most, doc_id, text))
+    ratios = spark.sparkContext.broadcast(fit(docs, trusted, doc_id, text))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     kept = [c for c in docs.columns if c not in {*names, "base_failed", "llr", "kept"}]
     source = docs.select(*kept)
