@@ -166,3 +166,10 @@ def test_queries_match_their_sql(spark, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_batch_report_counts_a_text_over_the_largest_limit_once(spark, tmp_path):
+    texts = [(1, "word. " * 20_000), (2, "# a heading\n\nits text\n\nmore"), (3, "   "), (10, "not read")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["batch_report"](spark, str(tmp_path)).first()
+    assert tuple(got) == (4, 3, 1, 2, 10, "unsupported file format: 10.mp4")
