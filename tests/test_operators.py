@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from vellumark import cli
 from vellumark.functions import text as T
-from vellumark.operators import kernels, media, metrics, passes, split, tables
+from vellumark.operators import kernels, media, metrics, passes, rows, split, tables
 from vellumark.options import SliceOptions
 from vellumark.sources import dispatch, files
 from vellumark.streaming import ingest
@@ -173,3 +173,20 @@ def test_batch_report_counts_a_text_over_the_largest_limit_once(spark, tmp_path)
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["batch_report"](spark, str(tmp_path)).first()
     assert tuple(got) == (4, 3, 1, 2, 10, "unsupported file format: 10.mp4")
+
+
+def test_a_batch_is_worked_on_in_slices_of_bounded_size(spark):
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 100_000] * 40 + ["y" * 3_000_000] + ["z"] * 2_000)
+    parts = [p for (p,) in rows.slices((texts,))]
+    assert sum(map(len, parts)) == len(texts) and pa.concat_arrays(parts).equals(texts)
+    assert all(len(p) == 1 or (p.nbytes <= rows.SLICE_BYTES and len(p) <= rows.SLICE_ROWS) for p in parts)
+    assert list(rows.slices((texts[:0],))) == []
+
+
+def test_functions_over_rows_keep_order_and_nulls_and_put_out_slices(spark):
+    plans = [split.split_pieces(F.col("t"), SliceOptions(limit=50)), files.outcome(F.lit("a.txt"), F.col("t").cast("binary"), SliceOptions(limit=50))]
+    docs = spark.range(0, 5_000, 1, 1).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("t"))
+    for row in docs.select("id", "t", plans[0].alias("pieces"), plans[1].alias("o")).collect():
+        assert row.pieces == (None if row.t is None else [row.t]) and row.o.ok and [p.content for p in row.o.paragraphs] == [row.t] * (row.t is not None)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.functions.text import is_separator
+from vellumark.operators.rows import each_row
 
 
 def token_recall(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -19,20 +18,14 @@ def token_recall(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     Pieces and texts meet by document, and words are counted inside the row: no word is shuffled by itself.
     """
 
-    @F.pandas_udf("n_tokens long, n_kept long, n_out long")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        found = re.compile(r"\w+").findall
-        for texts, pieces in batches:
-            rows = []
-            for text, own in zip(texts, pieces, strict=True):
-                a, b = (Counter(w for t in side if t is not None for w in found(t)) for side in (text, own))
-                rows.append((a.total(), (a & b).total(), b.total()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_kept", "n_out"])
+    def run(texts: list[str], pieces: list[str]) -> tuple[int, int, int]:
+        a, b = (Counter(w for t in side if t is not None for w in re.findall(r"\w+", t)) for side in (texts, pieces))
+        return a.total(), (a & b).total(), b.total()
 
     both = docs.select("doc_id", F.lit(0).alias("side"), F.col("text").alias("t")).unionByName(paragraphs.select("doc_id", F.lit(1).alias("side"), F.col("content").alias("t")))
     held = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("t")))
     gathered = both.groupBy("doc_id").agg(held(0).alias("texts"), held(1).alias("pieces"))
-    return gathered.select("doc_id", run("texts", "pieces").alias("r")).select("doc_id", "r.*").filter("n_tokens + n_out > 0")
+    return gathered.select("doc_id", each_row(run, "n_tokens long, n_kept long, n_out long", F.col("texts"), F.col("pieces")).alias("r")).select("doc_id", "r.*").filter("n_tokens + n_out > 0")
 
 
 def piece_stats(pieces: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumark.functions.text import is_separator
 from vellumark.operators import kernels
+from vellumark.operators.rows import each_row
 from vellumark.options import SliceOptions
 
 
@@ -35,17 +33,12 @@ def overlap_paragraphs(paragraphs: DataFrame, options: SliceOptions) -> DataFram
     """(doc_id, para_idx, title, content) with each content led by the end of the extended one before it."""
     options = options.resolved()
 
-    @F.pandas_udf("array<struct<para_idx:int,title:string,content:string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            out = []
-            for rows in series:
-                done = kernels.overlap_rows([(r["title"] or "", r["content"] or "") for r in rows], options)
-                out.append([{"para_idx": r["para_idx"], "title": t, "content": c} for r, (t, c) in zip(rows, done, strict=True)])
-            yield pd.Series(out, dtype=object)
+    def run(rows: list[dict]) -> list[tuple[int, str, str]]:
+        done = kernels.overlap_rows([(r["title"] or "", r["content"] or "") for r in rows], options)
+        return [(r["para_idx"], t, c) for r, (t, c) in zip(rows, done, strict=True)]
 
     grouped = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("para_idx").cast("int").alias("para_idx"), "title", "content"))).alias("rows"))
-    return grouped.select("doc_id", F.explode(run("rows")).alias("p")).select("doc_id", "p.para_idx", "p.title", "p.content")
+    return grouped.select("doc_id", F.explode(each_row(run, "array<struct<para_idx:int,title:string,content:string>>", F.col("rows"))).alias("p")).select("doc_id", "p.para_idx", "p.title", "p.content")
 
 
 def drop_repeats(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
